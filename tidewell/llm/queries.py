@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.digest import series_quantiles
+from tidewell.llm.leakage import find_leaks
+from tidewell.llm.packing import pack_documents
+from tidewell.llm.residue import find_residue
 from tidewell.llm.runs import collapse_runs
 from tidewell.queries_data import CURRENT
 from tidewell.sources.tables import table
@@ -31,6 +34,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse_runs(table(spark, d, "meas"), min_n=3).select("id", "time_from", "time_to")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents").select("doc_id", "text")).where(F.col("residue").isNotNull()).select("doc_id")
+
+
 P1_PERCENTILES_SQL = f"""WITH {CURRENT}, v AS (SELECT id, count(*) AS n, list_sort(list(value)) AS v FROM cur GROUP BY id),
 ps AS (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS p)
 SELECT id, p, n, floor(p * n)::BIGINT AS position, v[floor(p * n)::BIGINT + 1] AS value FROM v, ps"""
@@ -46,5 +61,15 @@ FROM g GROUP BY id, run"""
 
 P4_FOUND_SQL = f"SELECT id, time_from, time_to FROM ({P4_RUNS_SQL}) WHERE n >= 3"
 
-QUERIES = {"p1_found": p1_found, "p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_runs": p4_runs}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL, "p4_runs": P4_RUNS_SQL}
+P8_FOUND_SQL = r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 9)) AS k FROM iw)),
+one AS (SELECT g, min(item_id) AS item_id FROM ig GROUP BY g HAVING count(*) = 1),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 9)) AS k FROM dw))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN one USING (g)"""
+
+QUERIES = {
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_runs": p4_runs, "p7_containers": p7_containers,
+    "p8_found": p8_found, "p9_found": p9_found,
+}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL, "p4_runs": P4_RUNS_SQL, "p8_found": P8_FOUND_SQL}
