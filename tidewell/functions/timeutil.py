@@ -35,25 +35,20 @@ def _divs(a: Column, n: int) -> Column:
     return F.call_function("div", a, _long(n))
 
 
+def _as_date(day: Column) -> Column:
+    """Days beyond what a date can hold (some five million years) count as the last one it holds."""
+    return F.date_from_unix_date(F.least(F.greatest(day, _long(-(2**31) + 1000)), _long(2**31 - 1000)).cast("int"))
+
+
 def month_of_day(day: Column) -> Column:
     """Months since 1970-01 of an epoch day (proleptic Gregorian calendar)."""
-    z = day + _long(719468)
-    doe = F.pmod(z, _long(146097))
-    era = floor_div(z, 146097)
-    yoe = _divs(doe - _divs(doe, 1460) + _divs(doe, 36524) - _divs(doe, 146096), 365)
-    doy = doe - (yoe * 365 + _divs(yoe, 4) - _divs(yoe, 100))
-    mp = _divs(doy * 5 + 2, 153)  # months since March
-    return (yoe + era * 400) * 12 + mp + 2 - _long(1970 * 12)
+    d = _as_date(day)
+    return (F.year(d) * 12 + F.month(d)).cast("long") - (1970 * 12 + 1)
 
 
 def day_of_month_index(month: Column) -> Column:
     """Epoch day of the first day of a month given in months since 1970-01."""
-    m = month + _long(1970 * 12 - 2)  # in a year that starts in March
-    y = floor_div(m, 12)
-    mp = F.pmod(m, _long(12))
-    yoe = F.pmod(y, _long(400))
-    doe = yoe * 365 + _divs(yoe, 4) - _divs(yoe, 100) + _divs(mp * 153 + 2, 5)
-    return floor_div(y, 400) * 146097 + doe - _long(719468)
+    return F.unix_date(F.add_months(F.lit("1970-01-01").cast("date"), month.cast("int"))).cast("long")
 
 
 def slot_index(time: ColumnOrName, interval: str) -> Column:
@@ -144,7 +139,7 @@ def ms_of_ntz(ts: ColumnOrName) -> Column:
 
 
 def _date(t: Column) -> Column:
-    return F.date_from_unix_date(epoch_day(t).cast("int"))
+    return _as_date(epoch_day(t))
 
 
 def to_datetime(time: ColumnOrName) -> Column:

@@ -20,7 +20,7 @@ CURRENT = """latest AS (
 
 def settled(c: str) -> Column:
     """Two decimals, moved off the ties of values with few decimals, so that engines that add up in another order agree."""
-    return F.round(F.col(c) + 0.00037, 2)
+    return F.round(F.col(c) + 0.00037123456, 2)
 
 
 def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +64,8 @@ P2_ROLLING_SQL = f"""WITH {CURRENT}, daily AS (
   SELECT id, epoch_day, sum(n) OVER w7 AS n_7, sum(total) OVER w7 AS total_7, sum(n) OVER w30 AS n_30, sum(total) OVER w30 AS total_30 FROM dense
   WINDOW w7 AS (PARTITION BY id ORDER BY epoch_day ROWS 6 PRECEDING), w30 AS (PARTITION BY id ORDER BY epoch_day ROWS 29 PRECEDING)
 )
-SELECT id, epoch_day, n_7::BIGINT AS n_7, round(total_7 + 0.00037, 2) AS total_7, round(total_7 / nullif(n_7, 0) + 0.00037, 2) AS average_7,
-  n_30::BIGINT AS n_30, round(total_30 + 0.00037, 2) AS total_30, round(total_30 / nullif(n_30, 0) + 0.00037, 2) AS average_30 FROM rolled"""
+SELECT id, epoch_day, n_7::BIGINT AS n_7, round(total_7 + 0.00037123456, 2) AS total_7, round(total_7 / nullif(n_7, 0) + 0.00037123456, 2) AS average_7,
+  n_30::BIGINT AS n_30, round(total_30 + 0.00037123456, 2) AS total_30, round(total_30 / nullif(n_30, 0) + 0.00037123456, 2) AS average_30 FROM rolled"""
 
 P2_FOUND_SQL = f"""WITH {CURRENT}, daily AS (SELECT DISTINCT id, time // 86400000 AS day FROM cur),
 gaps AS (SELECT id, day, lead(day) OVER (PARTITION BY id ORDER BY day) AS next FROM daily)
@@ -111,7 +111,7 @@ lim AS (
 ), impossible AS (SELECT id, time FROM cur JOIN lim USING (id) WHERE value < lo OR value > hi)
 SELECT id, time FROM spikes JOIN a USING (id, rn) UNION SELECT id, time FROM stuck UNION SELECT id, time FROM impossible"""
 
-P6_TOTALS_SQL = """SELECT id, count(*) AS n_rows, count(v) AS n_values, round(sum(v) + 0.00037, 2) AS total, min(v) AS min_value, max(v) AS max_value
+P6_TOTALS_SQL = """SELECT id, count(*) AS n_rows, count(v) AS n_values, round(sum(v) + 0.00037123456, 2) AS total, min(v) AS min_value, max(v) AS max_value
 FROM (SELECT id, CASE WHEN NOT isnan(value) THEN value END AS v FROM meas) GROUP BY id"""
 
 P6_FOUND_SQL = "SELECT id FROM meas GROUP BY id HAVING count(*) > 0.03 * (SELECT count(*) FROM meas)"
