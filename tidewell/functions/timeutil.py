@@ -37,7 +37,8 @@ def _divs(a: Column, n: int) -> Column:
 
 def _as_date(day: Column) -> Column:
     """Days beyond what a date can hold (some five million years) count as the last one it holds."""
-    return F.date_from_unix_date(F.least(F.greatest(day, _long(-(2**31) + 1000)), _long(2**31 - 1000)).cast("int"))
+    held = F.least(F.greatest(day, _long(-(2**31) + 1000)), _long(2**31 - 1000))
+    return F.date_from_unix_date(F.when(day.isNotNull(), held).cast("int"))
 
 
 def month_of_day(day: Column) -> Column:
