@@ -274,8 +274,7 @@ def test_scores_do_not_depend_on_the_cut(spark, meas):
     a, b = ({(r["id"], r["time"]): (r["spike"], r["stuck"], r["score"]) for r in score_readings(meas(data), *none, **c).collect()} for c in CUTS)
     assert a.keys() == b.keys()
     assert all(a[k][:2] == b[k][:2] for k in a)
-    # The pool of a cut series is measured in a step known to one part in 16,384.
-    assert sum(abs(a[k][2] - b[k][2]) < 0.01 for k in a) > 0.95 * len(a)
+    assert sum(abs(a[k][2] - b[k][2]) < 1e-3 for k in a) > 0.99 * len(a)  # sums in another order may move a threshold
     top = sorted(a, key=lambda k: -a[k][2])[:10]
     assert all(a[k][0] or a[k][1] or a[k][2] > 0.5 for k in top)
 
