@@ -258,7 +258,7 @@ def sensor(seed, n=900):
     return out + [(9, 5, 1.0, 0), (10, 5, 200.0, 0)]
 
 
-@pytest.mark.parametrize("cut", CUTS)
+@pytest.mark.parametrize("cut", [*CUTS, {"shard_rows": 6}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_implausible(spark, meas, cut, seed):
     data = [(*r, k) for k, r in enumerate(sensor(seed))]
