@@ -113,7 +113,7 @@ def target_interval(time: ColumnOrName, interval: str) -> Column:
 
 
 def bucket_start_of(time: ColumnOrName, interval: Column) -> Column:
-    return slot_start_of(slot_index_of(time, interval), interval)
+    return _by_interval(interval, lambda n: bucket_start(time, n))
 
 
 def interval_length(name: Column) -> Column:

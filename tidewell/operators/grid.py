@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.timeutil import slot_index_of, slot_start_of
+from tidewell.functions.timeutil import bucket_start_of, slot_index_of, slot_start_of
 from tidewell.operators.layout import halos, join_by_id, ordered_readings, plan_shards, with_neighbours
 
 GRID_INTERVALS = ("minute", "halfhour", "hour", "day", "week", "month")
@@ -43,7 +43,7 @@ def regular_grid(rows: DataFrame, scheme: DataFrame, max_gap: int = 24, max_look
             .groupBy("id").agg(F.min("interval").alias("interval")))
     placed = join_by_id(rows.select("id", "time", "value", "flag", "seq").where(F.col("time").isNotNull()), dims, plan, max_rows=max_lookup_rows)
     # Shards begin with a period, so that no period lies in two.
-    at = slot_start_of(slot_index_of("time", F.col("interval")), F.col("interval"))
+    at = bucket_start_of("time", F.col("interval"))
     slots = (
         ordered_readings(placed, plan, keep=("interval",), shard_time=at)
         .groupBy("id", "shard", "interval", slot_index_of("time", F.col("interval")).alias("slot"))  # no exchange

@@ -89,15 +89,16 @@ def _or_no_data(joined: DataFrame, tp) -> DataFrame:
         F.when(none, F.lit(NO_DATA).cast("long")).otherwise(F.col("r.flag")).alias("flag"))
 
 
-def read_time_points(rows: DataFrame, points: DataFrame, mask: int = 0, **layout) -> DataFrame:
+def read_time_points(rows: DataFrame, points: DataFrame, mask: int = 0, readings_only: bool = False, **layout) -> DataFrame:
     """As-of lookup of many points: for each row (id, time_point) of `points` the latest row of that id at or before it that passes
-    the mask, else no data: id, time_point, time, value, flag. Repeated points are answered repeatedly.
+    the mask, else no data: id, time_point, time, value, flag. Repeated points are answered repeatedly. readings_only: rows that hold
+    no reading are passed over.
 
     Both sides meet in the time shards of the layout, so neither a large series nor many points of one id come into one task. A
     shard's first points take the last row of the shards before, of which there is one for each shard.
     """
     plan = plan_shards(rows, **layout)
-    kept = ordered_rows(rows, plan).where(in_flag(mask))
+    kept = ordered_rows(rows, plan).where(in_flag(mask) & (is_reading() if readings_only else F.lit(True)))
     asked = with_shard(points.select("id", F.col("time_point").alias("time")), plan).withColumn("_ask", F.lit(1))
     both = kept.withColumn("_ask", F.lit(0)).unionByName(asked, allowMissingColumns=True)
     w = Window.partitionBy("id", "shard").orderBy("time", "_ask").rowsBetween(Window.unboundedPreceding, 0)

@@ -22,12 +22,13 @@ def rollup(readings: DataFrame, interval: str, functions: Iterable[str], by: str
     return calculate(readings.withColumn("bucket", bucket_start("time", interval)), functions, [by, "bucket"])
 
 
-def rollup_links(readings: DataFrame, links: DataFrame, since: Column | None = None) -> DataFrame:
+def rollup_links(readings: DataFrame, links: DataFrame, since: Column | None = None, functions: list[str] | None = None) -> DataFrame:
     """id, time, value, flag to be appended to the coarser series: for each link the coarser series' function over the finer one's
     readings, by period of the coarser interval; the row's time is the function's (it lies in the period), its flag 0.
 
     readings: one row for each (id, time). links: of `scheme.linked`; those without a known function give nothing. since: only
-    readings from this time on count (a backfill from the coarser series' last period).
+    readings from this time on count (a backfill from the coarser series' last period). functions: the known ones among the links'
+    functions; looked up if not given.
     """
     known = links.where(F.lower("dst_func").isin(*available()))
     rows = readings.select(F.col("id").alias("src_id"), "time", "value", "flag")
@@ -36,12 +37,13 @@ def rollup_links(readings: DataFrame, links: DataFrame, since: Column | None = N
     # The links are a part of the catalogue, at most a few rows for each series; the planner sees their size when they are made.
     joined = rows.join(known, "src_id").select(
         F.col("dst_id").alias("id"), bucket_start_of("time", F.col("dst_interval")).alias("bucket"), F.lower("dst_func").alias("want"), "src_id", "time", "value", "flag")
-    return _wanted(joined, known)
+    return _wanted(joined, known, functions)
 
 
-def _wanted(joined: DataFrame, links: DataFrame) -> DataFrame:
+def _wanted(joined: DataFrame, links: DataFrame, names: list[str] | None = None) -> DataFrame:
     """joined: id, bucket, want, src_id, time, value, flag. Only functions that some link has (of those known) are calculated."""
-    names = sorted(r[0] for r in links.select(F.lower("dst_func")).distinct().collect())
+    if names is None:
+        names = sorted(r[0] for r in links.select(F.lower("dst_func")).distinct().collect())
     done = calculate(joined, names or ["average"], ["id", "bucket", "want", "src_id"])
     return done.where(F.col("fn") == F.col("want")).select("id", "time", "value", F.lit(0).cast("long").alias("flag"))
 
@@ -56,13 +58,16 @@ def cascade(rows: DataFrame, scheme: DataFrame, settings: Settings | None = None
     links = written(linked(scheme), "links")
     stored = dedupe(rows).where(is_reading())
     made = None
+    steps: dict[str, list[str]] = {}  # at most seven intervals and as many functions as are known
+    for r in links.select("src_interval", F.lower("dst_func").alias("fn")).distinct().collect():
+        steps.setdefault(r["src_interval"], []).extend([r["fn"]] if r["fn"] in available() else [])
     for interval in NAME_INTERVALS:
-        own = links.where(F.col("src_interval") == interval)
-        if own.isEmpty():
+        if not steps.get(interval):
             continue
+        own = links.where(F.col("src_interval") == interval)
         source = stored if made is None else dedupe(
             stored.withColumn("seq", F.lit(0).cast("long")).unionByName(made.withColumn("seq", F.lit(1).cast("long"))))
-        level = written(rollup_links(source, own), f"level-{interval}")
+        level = written(rollup_links(source, own, functions=sorted(steps[interval])), f"level-{interval}")
         made = level if made is None else made.unionByName(level)
     return made if made is not None else stored.where(F.lit(False))
 

@@ -115,14 +115,13 @@ def time_point_nodata(spark, d):
     return reads.read_time_point(_meas(spark, d), table(spark, d, "scheme"), EARLY)
 
 
-@query(f"""WITH {LATEST}, c AS (SELECT * FROM latest WHERE value IS NOT NULL AND flag <> {NO_DATA}), p AS (SELECT id, time AS time_point FROM meas WHERE flag = {NO_DATA})
+@query(f"""WITH {CURRENT}, p AS (SELECT id, time AS time_point FROM meas WHERE flag = {NO_DATA})
 SELECT p.id, p.time_point, coalesce(c.time, p.time_point) AS time, CASE WHEN c.time IS NULL THEN 0 ELSE c.value END AS value, coalesce(c.flag, {NO_DATA}) AS flag
-FROM p ASOF LEFT JOIN c ON p.id = c.id AND p.time_point >= c.time""")
+FROM p ASOF LEFT JOIN cur c ON p.id = c.id AND p.time_point >= c.time""")
 def time_points_asof(spark, d):
     """What was valid whenever a reading was withdrawn."""
     m = _meas(spark, d)
-    return reads.read_time_points(reads.dedupe(m).where(F.col("value").isNotNull() & (F.col("flag") != NO_DATA)).withColumn("seq", F.lit(0).cast("long")),
-                                  m.where(F.col("flag") == NO_DATA).select("id", F.col("time").alias("time_point")))
+    return reads.read_time_points(m, m.where(F.col("flag") == NO_DATA).select("id", F.col("time").alias("time_point")), readings_only=True)
 
 
 @query(f"WITH {LATEST}, r AS (SELECT id, arg_max({{'t': time, 'v': value, 'f': flag}}, time) AS r FROM latest GROUP BY id) SELECT id, r.t AS time, r.v AS value, r.f AS flag FROM r")
