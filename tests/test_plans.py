@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.plans import rollup as ro
 from tidewell.plans import scheme as sc
+from tidewell.plans.folder import Folder
 from tidewell.plans.json_api import JsonApi
 from tidewell.plans.settings import Settings
 from tidewell.plans.storage import LockedError, ShardedStore, Store, memory_only_storage, open_storage
@@ -26,12 +27,12 @@ def store(request, spark, tmp_path):
 # Scheme
 
 def test_catalogue(spark, tmp_path):
-    c = sc.SchemeCatalog(spark, str(tmp_path))
+    c = sc.SchemeCatalog(spark, Folder(str(tmp_path), spark))
     names = ["lvl1.lvl2.lvl3_1.param1", "lvl1.lvl2.lvl3_1.param2", "memory.raw"]
     ids = c.add_all(names)
     assert len(set(ids.values())) == 3 and c.add("memory.raw") == ids["memory.raw"] and c.id_of("nothing") == MAX_ID
     c.save()
-    d = sc.SchemeCatalog(spark, str(tmp_path))
+    d = sc.SchemeCatalog(spark, Folder(str(tmp_path), spark))
     assert d.names() == ids and d.add("more") > max(ids.values())
     assert rows(d.description_for(12345), "id", "name") == [(MAX_ID, None)]
 
@@ -160,8 +161,8 @@ def test_reopen_lock_and_cleaning(spark, tmp_path):
     s.append(1, 1, 3.0)
     assert rows(s.read_interval([1], 0, 5), "value") == [(3.0,)]
     s.stop()
-    m = json.loads((tmp_path / "s" / "Manifest").read_text())
-    (tmp_path / "s" / "Manifest").write_text(json.dumps(m | {"format": 2}))
+    folder = Folder(p, spark)
+    folder.write("Manifest", json.dumps(json.loads(folder.read("Manifest")) | {"format": 2}))
     with pytest.raises(LockedError):
         Store(spark, p)
 
@@ -218,8 +219,8 @@ def test_settings(tmp_path):
     s.change("strategy=WAL")
     s.change("lifetime_raw=5")
     s.change("raw_is_memonly=true")
-    s.save(str(tmp_path))
-    t = Settings.load(str(tmp_path))
+    s.save(Folder(str(tmp_path)))
+    t = Settings.load(Folder(str(tmp_path)))
     assert t == s and t.lifetime_for("raw") == 5 and t.lifetime_for("year") is None and t.strategy_for("hour") == "COMPRESSED"
     assert json.loads(t.dump())["chunk_size"] == "1024"
     for bad, e in (("x=1", KeyError), ("strategy=none", ValueError), ("strategy", ValueError)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     at = tempfile.mkdtemp(prefix="tidewell-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{at}")
     return f"file://{at}"
 

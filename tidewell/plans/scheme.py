@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.timeutil import interval_rank
+from tidewell.plans.folder import Folder
 from tidewell.types import INTERVALS, MAX_ID, SCHEME_SCHEMA
 
 # Names of functions as they stand in series names (their case matters).
@@ -96,14 +96,13 @@ class SchemeCatalog:
 
     FILE = "scheme.js"
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, folder: Folder | None = None) -> None:
+        self.spark, self.folder = spark, folder
         self._ids: dict[str, int] = {}
         self._next = 0
-        if path and os.path.exists(f"{path}/{self.FILE}"):
-            with open(f"{path}/{self.FILE}") as f:
-                for p in json.load(f)["params"]:
-                    self._ids[p["name"]] = p["id"]
+        if folder and folder.exists(self.FILE):
+            for p in json.loads(folder.read(self.FILE))["params"]:
+                self._ids[p["name"]] = p["id"]
             self._next = max(self._ids.values(), default=-1) + 1
 
     def add(self, name: str) -> int:
@@ -136,10 +135,7 @@ class SchemeCatalog:
         return linked(self.ls()).where(F.col("src_id") == series)
 
     def save(self) -> None:
-        if not self.path:
+        if not self.folder:
             return
         params = [{k: r[k] or "" if k != "id" else r[k] for k in SCHEME_SCHEMA.fieldNames()} for r in self.ls().collect()]
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/{self.FILE}.new", "w") as f:
-            json.dump({"params": params}, f, indent=1)
-        os.replace(f"{self.path}/{self.FILE}.new", f"{self.path}/{self.FILE}")
+        self.folder.write(self.FILE, json.dumps({"params": params}, indent=1))

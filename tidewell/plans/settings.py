@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
 
+from tidewell.plans.folder import Folder
 from tidewell.types import DAY, HOUR, MINUTE
 
 FILE = "Settings"
@@ -64,20 +64,16 @@ class Settings:
     def dump(self) -> str:
         return json.dumps({f.name: str(getattr(self, f.name)) for f in fields(self)}, indent=1)
 
-    def save(self, folder: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/{FILE}.new", "w") as f:
-            f.write(self.dump())
-        os.replace(f"{folder}/{FILE}.new", f"{folder}/{FILE}")
+    def save(self, folder: Folder) -> None:
+        folder.write(FILE, self.dump())
 
     @classmethod
-    def load(cls, folder: str) -> Settings:
+    def load(cls, folder: Folder) -> Settings:
         out = cls()
-        if os.path.exists(f"{folder}/{FILE}"):
-            with open(f"{folder}/{FILE}") as f:
-                for k, v in json.load(f).items():
-                    if k in out.__dict__:
-                        out.set(k, v)
+        if folder.exists(FILE):
+            for k, v in json.loads(folder.read(FILE)).items():
+                if k in out.__dict__:
+                    out.set(k, v)
         return out
 
     def set_default(self) -> None:

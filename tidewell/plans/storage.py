@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import logging
 import os
-import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -23,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import reads
-from tidewell.plans.scheme import SchemeCatalog
+from tidewell.plans.folder import Folder
+from tidewell.plans.scheme import NAME_INTERVALS, SchemeCatalog
 from tidewell.plans.settings import Settings
 from tidewell.types import MAX_TIME, MEAS_SCHEMA
 
@@ -62,38 +62,32 @@ class Store:
         self._memory: list[DataFrame] = []
         self._layers: list[str] = []
         self._callbacks: list[tuple[tuple[int, ...], int, Callable]] = []
-        self.settings = Settings.load(path) if path else Settings(strategy="MEMORY")
-        self.scheme = SchemeCatalog(spark, path)
+        self.folder = Folder(path, spark) if path else None
+        self.settings = Settings.load(self.folder) if path else Settings(strategy="MEMORY")
+        self.scheme = SchemeCatalog(spark, self.folder)
         if path:
             self._open(force_unlock)
 
     def _open(self, force_unlock: bool) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        lock = f"{self.path}/lock"
-        if os.path.exists(lock) and not force_unlock:
+        self.folder.make()
+        if not self.folder.create_once("lock", str(os.getpid())) and not force_unlock:
             raise LockedError(f"{self.path} is locked")
-        with open(lock, "w") as f:
-            f.write(str(os.getpid()))
-        at = f"{self.path}/{self.MANIFEST}"
-        if os.path.exists(at):
-            with open(at) as f:
-                m = json.load(f)
+        if self.folder.exists(self.MANIFEST):
+            m = json.loads(self.folder.read(self.MANIFEST))
             if m["format"] != FORMAT:
-                os.remove(lock)
+                self.folder.remove("lock")
                 raise LockedError(f"format {m['format']}, expected {FORMAT}")
             self._layers, self._seq = m["layers"], m["seq"]
         else:
             self._list(self._layers)
-            self.settings.save(self.path)
-        for d in os.listdir(self.path):  # what an unfinished job left
+            self.settings.save(self.folder)
+        for d in self.folder.names():  # what an unfinished job left
             if d.startswith("layer-") and d not in self._layers:
-                shutil.rmtree(f"{self.path}/{d}")
+                self.folder.remove(d)
 
     def _list(self, layers: list[str]) -> None:
         """Replaces the list of live layers in one step."""
-        with open(f"{self.path}/{self.MANIFEST}.new", "w") as f:
-            json.dump({"format": FORMAT, "layers": layers, "seq": self._seq}, f)
-        os.replace(f"{self.path}/{self.MANIFEST}.new", f"{self.path}/{self.MANIFEST}")
+        self.folder.write(self.MANIFEST, json.dumps({"format": FORMAT, "layers": layers, "seq": self._seq}))
         self._layers = list(layers)
 
     # Writing
@@ -220,7 +214,7 @@ class Store:
         old = self._layers
         self._list([self._write(rows)])
         for d in old:
-            shutil.rmtree(f"{self.path}/{d}", ignore_errors=True)
+            self.folder.remove(d)
 
     def _with_seq(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("seq", F.lit(self._seq).cast("long"))
@@ -277,15 +271,14 @@ class Store:
         return bad
 
     def description(self) -> dict[str, int]:
-        files = [f for n in self._layers for f in os.listdir(f"{self.path}/{n}") if f.endswith(".parquet")]
+        files = [f for n in self._layers for f in self.folder.names(n) if f.endswith(".parquet")]
         return {"layers": len(self._layers) + len(self._memory), "files": len(files), "buffered": len(self._buffer)}
 
     def stop(self) -> None:
         if self.path:
             self.flush()
             self.scheme.save()
-            if os.path.exists(f"{self.path}/lock"):
-                os.remove(f"{self.path}/lock")
+            self.folder.remove("lock")
         for x in self._memory:
             x.unpersist()
 
@@ -297,18 +290,16 @@ class ShardedStore:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
-        self.scheme = SchemeCatalog(spark, path)
+        self.folder = Folder(path, spark)
+        self.folder.make()
+        self.scheme = SchemeCatalog(spark, self.folder)
         self._shards: dict[str, dict] = {}
         self._open: dict[str, Store] = {}
-        if os.path.exists(f"{path}/{self.FILE}"):
-            with open(f"{path}/{self.FILE}") as f:
-                self._shards = {s["alias"]: s for s in json.load(f)}
+        if self.folder.exists(self.FILE):
+            self._shards = {s["alias"]: s for s in json.loads(self.folder.read(self.FILE))}
 
     def _save(self) -> None:
-        with open(f"{self.path}/{self.FILE}.new", "w") as f:
-            json.dump(list(self._shards.values()), f, indent=1)
-        os.replace(f"{self.path}/{self.FILE}.new", f"{self.path}/{self.FILE}")
+        self.folder.write(self.FILE, json.dumps(list(self._shards.values()), indent=1))
 
     def add(self, alias: str, path: str | None = None, ids: Iterable[int] = ()) -> None:
         """No ids: the default shard. A known alias gets further ids."""
@@ -331,8 +322,6 @@ class ShardedStore:
                 return s["alias"]
         name = next((n for n, i in self.scheme.names().items() if i == id), None)
         parts = [p for p in (name or "").split(".") if p]
-        from tidewell.plans.scheme import NAME_INTERVALS
-
         alias = parts[-1] if len(parts) >= 2 and parts[-1] in NAME_INTERVALS else next((s["alias"] for s in self._shards.values() if not s["ids"]), "default")
         self.add(alias, ids=[id] if alias in NAME_INTERVALS else [])
         return alias
@@ -381,7 +370,7 @@ class ShardedStore:
 
 def open_storage(spark: SparkSession, path: str, force_unlock: bool = False) -> Store | ShardedStore:
     """A sharded store if the folder lists shards, else a plain one."""
-    if os.path.exists(f"{path}/{ShardedStore.FILE}"):
+    if Folder(path, spark).exists(ShardedStore.FILE):
         return ShardedStore(spark, path)
     return Store(spark, path, force_unlock)
 
