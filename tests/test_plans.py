@@ -281,3 +281,70 @@ def test_late_rows_are_rolled_up_again(spark, meas, tmp_path):
     call(meas([(1, 5, 1.0, 0), (1, 3_600_005, 1.0, 0)]), 0)
     call(meas([(1, 9, 2.0, 0)]), 1)
     assert rows(store.read_interval([101], 0, 10**9), "time", "value") == [(0, 3.0), (3_600_000, 1.0)]
+
+
+# Files, command line, HTTP
+
+def test_files(spark, tmp_path):
+    import pandas as pd
+
+    from tidewell.sources import files
+
+    df = pd.DataFrame({"id": [1, 4294967295, 1], "time": [5, 6, 5], "value": [1.5, -2.0, 9.0], "flag": [0, 4294967295, 1]})
+    (tmp_path / "a.wal").write_bytes(files.pack_rows(df) + b"half")
+    got = files.read_packed(spark, str(tmp_path / "*.wal"))
+    assert rows(got, "id", "time", "value", "flag") == [tuple(r) for r in df.itertuples(index=False)]
+    from tidewell.operators.reads import dedupe
+
+    assert sorted(rows(dedupe(got), "id", "value")) == [(1, 1.5), (4294967295, -2.0)]
+    folder = Folder(str(tmp_path / "c"), spark)
+    c = sc.SchemeCatalog(spark, folder)
+    c.add_all(["a.raw", "b"])
+    c.save()
+    assert sorted(rows(files.read_scheme(spark, folder.at("scheme.js")))) == [(0, "a.raw", "raw", None), (1, "b", None, None)]
+    folder.write("shards.js", json.dumps([{"alias": "x", "path": "p", "ids": [1, 2]}, {"alias": "default", "path": "d", "ids": []}]))
+    assert sorted(rows(files.read_shards(spark, folder.at("shards.js"))), key=str) == sorted([("x", "p", 1), ("x", "p", 2), ("default", "d", None)], key=str)
+    spark.range(3).select("id", F.col("id").alias("time"), F.lit(1.0).alias("value")).write.parquet(str(tmp_path / "t"))
+    assert rows(files.read_table(spark, str(tmp_path / "t")).agg(F.sum("flag"), F.sum("seq"))) == [(0, 0)]
+
+
+def test_bits(spark):
+    from tidewell.functions import hashing as h
+
+    df = spark.createDataFrame([(5, "123456789")], "w long, s string")
+    assert df.select(h.get_bit(F.col("w"), 0), h.get_bit(F.col("w"), 1), h.set_bit(F.col("w"), 1), h.clear_bit(F.col("w"), 2), h.crc32("s")).first() == (1, 0, 7, 1, 0xCBF43926)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from tidewell.__main__ import main
+
+    at = str(tmp_path / "s")
+    assert main(["--init", "--storage-path", at, "--strategy", "WAL"]) == 0
+    s = Store(spark, at)
+    assert s.settings.strategy == "WAL"
+    s.append(1, 1, 1.0)
+    s.stop()
+    assert main(["--repack", "--storage-path", at]) == 0 and main(["--fsck", "--storage-path", at]) == 0 and main(["--format", "--memory-only"]) == 0
+    assert main(["--init", "--use-shards", "--storage-path", str(tmp_path / "t")]) == 0
+    with pytest.raises(SystemExit):
+        main(["--init"])
+
+
+def test_http(spark):
+    import threading
+    import urllib.request
+
+    from tidewell.plans.json_api import serve
+
+    server = serve(JsonApi(memory_only_storage(spark)), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        body = json.dumps({"type": "append", "append_value": {"I": "a", "T": 1, "V": 2.0, "F": 0}}).encode()
+        assert json.load(urllib.request.urlopen(urllib.request.Request(url, data=body)))["writed"] == 1
+        assert json.load(urllib.request.urlopen(url + "/scheme")) == {"a": 0}
+        assert urllib.request.urlopen(url + "/nothing").status == 204
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(urllib.request.Request(url, data=b"{}"))
+    finally:
+        server.shutdown()

@@ -46,3 +46,20 @@ def bloom_check(word: Column, value: Column) -> Column:
 
 def bloom_combine(a: Column, b: Column) -> Column:
     return a.bitwiseOR(b)
+
+
+def crc32(content: Column | str) -> Column:
+    """Checksum of a binary or text column, as a long."""
+    return F.crc32(content)
+
+
+def get_bit(word: Column, place: int) -> Column:
+    return F.shiftrightunsigned(word, place).bitwiseAND(F.lit(1).cast("long"))
+
+
+def set_bit(word: Column, place: int) -> Column:
+    return word.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), place))
+
+
+def clear_bit(word: Column, place: int) -> Column:
+    return word.bitwiseAND(F.bitwise_not(F.shiftleft(F.lit(1).cast("long"), place)))

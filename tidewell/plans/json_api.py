@@ -121,3 +121,28 @@ class JsonApi:
         for i in self._ids(q["id"]):
             self.store.erase_old(i, clamp_time(q["to"]))
         return "{}"
+
+
+def serve(api: JsonApi, port: int, host: str = "127.0.0.1"):
+    """An HTTP server for `api`: POST with a request as its body, GET /scheme and /statfuncs. Call its serve_forever()."""
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def _send(self, status: int, body: str) -> None:
+            data = body.encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_POST(self) -> None:  # noqa: N802
+            self._send(*api.handle(self.rfile.read(int(self.headers.get("Content-Length", 0))).decode(errors="replace")))
+
+        def do_GET(self) -> None:  # noqa: N802
+            self._send(*api.get(self.path))
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return HTTPServer((host, port), Handler)

@@ -358,6 +358,17 @@ class ShardedStore:
         for n in self._shards:
             self.store(n).subscribe(ids, flag, call)
 
+    @property
+    def settings(self) -> Settings:
+        return Settings.load(self.folder)
+
+    def repack(self) -> None:
+        for n in self._shards:
+            self.store(n).repack()
+
+    def fsck(self) -> list[str]:
+        return [f"{n}/{x}" for n in self._shards for x in self.store(n).fsck()]
+
     def description(self) -> dict[str, dict]:
         return {n: self.store(n).description() for n in self._shards}
 
