@@ -68,6 +68,8 @@ def test_plan_cuts_large_series_only(meas):
 
 def test_shard_is_the_number_of_cuts_at_or_before(spark):
     cuts = [-50, 0, 1, 2, 1000, 10**12]
+    far = with_shard(spark.createDataFrame([(1, 2**63 - 1), (1, -(2**63))], "id long, time long"), ShardPlan({1: [-(2**63) + 5, 0]})).collect()
+    assert [r["shard"] for r in far] == [2, 0]
     df = spark.createDataFrame([(1, t) for t in (-51, -50, -1, 0, 1, 2, 999, 1000, 10**12 - 1, 10**12, 10**15)] + [(2, 5), (1, None)], "id long, time long")
     for r in with_shard(df, ShardPlan({1: cuts})).collect():
         assert r["shard"] == (sum(c <= r["time"] for c in cuts) if r["id"] == 1 and r["time"] is not None else 0)

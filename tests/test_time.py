@@ -51,8 +51,9 @@ def test_slots_of_successive_periods_differ_by_one(spark):
 
 
 def test_extreme_times_do_not_fail(spark):
-    df = spark.createDataFrame([(2**63 - 1,), (-(2**63) + 10**13,), (None,)], "t long")
-    assert df.select(*[tu.slot_index("t", i).alias(i) for i in INTERVALS]).collect()[2]["month"] is None
+    df = spark.createDataFrame([(2**63 - 1,), (-(2**63),), (None,)], "t long")
+    assert df.select(*[tu.slot_index("t", i).alias(i) for i in INTERVALS], *[tu.bucket_start("t", i).alias(f"s{i}") for i in INTERVALS],
+                     *[tu.bucket_end("t", i).alias(f"e{i}") for i in INTERVALS], tu.round_to("t", 1000).alias("r")).collect()[2]["month"] is None
 
 
 def test_conversions(spark):

@@ -24,7 +24,7 @@ def _long(n: int) -> Column:
 
 def floor_div(a: Column, n: int) -> Column:
     """floor(a / n) on longs (`div` alone truncates towards zero)."""
-    return F.call_function("div", a - F.pmod(a, _long(n)), _long(n))
+    return F.call_function("div", a, _long(n)) - F.when(a % _long(n) < 0, _long(1)).otherwise(_long(0))
 
 
 def epoch_day(time: ColumnOrName) -> Column:
@@ -67,12 +67,12 @@ def slot_index(time: ColumnOrName, interval: str) -> Column:
 
 
 def slot_start(slot: ColumnOrName, interval: str) -> Column:
-    """First millisecond of the period with running number `slot`."""
+    """First millisecond of the period with running number `slot`; null if that isn't a long."""
     s = _c(slot)
     if interval in ("minute", "halfhour", "hour", "day"):
-        return s * INTERVALS[interval]
+        return F.try_multiply(s, _long(INTERVALS[interval]))
     if interval == "week":
-        return (s * 7 - 3) * DAY
+        return F.try_multiply(s * 7 - 3, _long(DAY))
     if interval == "month":
         return day_of_month_index(s) * DAY
     if interval == "year":
@@ -101,8 +101,8 @@ def bucket_start(time: ColumnOrName, interval: str) -> Column:
 
 
 def bucket_end(time: ColumnOrName, interval: str) -> Column:
-    """Last millisecond of the period (inclusive)."""
-    return slot_start(slot_index(time, interval) + 1, interval) - 1
+    """Last millisecond of the period (inclusive); null if that isn't a long."""
+    return F.try_subtract(slot_start(slot_index(time, interval) + 1, interval), _long(1))
 
 
 def target_interval(time: ColumnOrName, interval: str) -> Column:
@@ -200,6 +200,5 @@ def from_seconds(n: int) -> int:
 
 
 def round_to(time: ColumnOrName, ms: int) -> Column:
-    """Floor to a multiple of `ms`: 1000, 60 000 or 3 600 000 for seconds, minutes and hours."""
-    t = _c(time)
-    return t - F.pmod(t, _long(ms))
+    """Floor to a multiple of `ms`: 1000, 60 000 or 3 600 000 for seconds, minutes and hours; null if that isn't a long."""
+    return F.try_multiply(floor_div(_c(time), ms), _long(ms))

@@ -114,8 +114,8 @@ def with_shard(rows: DataFrame, plan: ShardPlan, time: Column | str = "time") ->
     if not plan.hot:
         return rows.withColumn("shard", F.lit(0))
     t = F.col(time) if isinstance(time, str) else time
-    cell = F.least(F.greatest(F.call_function("div", t - F.col("_t0"), F.col("_width")), F.lit(0).cast("long")),
-                   F.size("_base").cast("long") - 1).cast("int")
+    last = F.size("_base").cast("long") - 1
+    cell = F.least(F.coalesce(F.call_function("div", F.try_subtract(t, F.col("_t0")), F.col("_width")), last), last).cast("int")
     cell = F.when(t < F.col("_t0"), F.lit(0)).otherwise(cell)
     shard = F.get("_base", cell) + F.size(F.filter(F.get("_inner", cell), lambda s: s <= t))
     return (

@@ -19,13 +19,14 @@ def dedupe(rows: DataFrame, keep: str = "last") -> DataFrame:
     """One row for each (id, time): the last (or first) by seq. On equal seq the larger flag and value decide. Rows without id or
     time are left out.
 
-    Rows are exchanged by (id, time), so no key is large; conditions on id and time reach the scan.
+    Rows are exchanged by (id, time), so no key is large; conditions on id and time reach the scan. They are exchanged first and
+    sorted once, as few of them are repeated; the planner's own choice would sort each input split as well.
     """
     o = [F.col("seq"), F.col("flag"), F.col("value")]
     o = [c.desc_nulls_last() for c in o] if keep == "last" else [c.asc_nulls_first() for c in o]
     w = Window.partitionBy("id", "time").orderBy(*o)
-    return (rows.where(F.col("id").isNotNull() & F.col("time").isNotNull()).withColumn("_rn", F.row_number().over(w))
-            .where("_rn = 1").select(*_ROW))
+    placed = rows.where(F.col("id").isNotNull() & F.col("time").isNotNull()).select(*_ROW, "seq")
+    return placed.repartition("id", "time").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*_ROW)
 
 
 def current_readings(rows: DataFrame) -> DataFrame:
