@@ -51,6 +51,11 @@ def test_slow_drift_is_one_run(meas):
     assert [r["n"] for r in collapse_runs(meas([(1, t, t * 9e-6, 0) for t in range(100)]), shard_rows=7).collect()] == [100]
 
 
+def test_extreme_times(meas):
+    got = collapse_runs(meas([(1, -(2**63), 1.0, 0), (1, 2**63 - 1, 1.0, 0)])).collect()
+    assert [(r["n"], r["duration"]) for r in got] == [(2, None)]
+
+
 def test_odd_rows(meas):
     assert collapse_runs(meas([])).count() == 0
     inf = float("inf")

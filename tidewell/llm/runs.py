@@ -35,7 +35,7 @@ def _fragments(readings: DataFrame, eps: float) -> DataFrame:
 
 def collapse_runs(rows: DataFrame, eps: float = EPS, min_n: int = 1, **layout) -> DataFrame:
     """Each maximal stretch of successive current readings of an id in which every one has the flag of the one before (null
-    equals null) and a value less than eps away from it, as one row: id, time_from, time_to, n, duration (ms), flag, value (of
+    equals null) and a value less than eps away from it, as one row: id, time_from, time_to, n, duration (ms; null if that isn't a long), flag, value (of
     the first), last_value. Stretches of fewer than min_n readings are left out.
 
     rows: id, time, value, flag, seq, as delivered; all ids count. Infinite values are near nothing, not even each other.
@@ -61,4 +61,4 @@ def collapse_runs(rows: DataFrame, eps: float = EPS, min_n: int = 1, **layout) -
                  F.min_by("value", "time_from").alias("value"), F.max_by("last_value", "time_from").alias("last_value"))
         )
         frag = kept.where(~F.col("_open")).select(*cols).unionByName(stitched.select(*cols))
-    return frag.where(F.col("n") >= min_n).select(*cols).withColumn("duration", F.col("time_to") - F.col("time_from"))
+    return frag.where(F.col("n") >= min_n).select(*cols).withColumn("duration", F.try_subtract("time_to", "time_from"))
