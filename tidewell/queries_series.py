@@ -83,10 +83,10 @@ def dedupe_supply(spark, d):
 
 @query(f"WITH {LATEST} SELECT * FROM latest")
 def merge_layers(spark, d):
-    """What arrived before and after a moment as two layers."""
+    """What arrived after and before a moment as two layers, the newer one first."""
     m = _meas(spark, d)
     late = F.col("arrived") >= F.timestamp_millis(F.lit(AT))
-    return reads.merge_layers([m.where(~late), m.where(late)])
+    return reads.merge_layers([m.where(late), m.where(~late)])
 
 
 @query("""SELECT o_custkey AS id, epoch_us(o_orderdate) // 1000 AS time, o_totalprice AS value, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 4 ELSE 0 END::BIGINT AS flag FROM orders
