@@ -75,6 +75,15 @@ def test_shard_is_the_number_of_cuts_at_or_before(spark):
         assert r["shard"] == (sum(c <= r["time"] for c in cuts) if r["id"] == 1 and r["time"] is not None else 0)
 
 
+def test_tasks_follow_the_table(meas, monkeypatch):
+    from tidewell.operators import layout
+
+    m = meas([(i, 1, 1.0, 0) for i in range(300)])
+    monkeypatch.setattr(layout, "TASK_ROWS", 10)
+    assert ordered_readings(m, plan_shards(m)).rdd.getNumPartitions() == 30
+    assert rolling_totals(m).count() == 300
+
+
 def test_halos_reach_over_short_and_empty_shards(meas):
     m = meas([(1, t, float(t), 0) for t in (0, 1, 2, 10, 30, 31, 32, 33)])
     plan = ShardPlan({1: [5, 20, 25, 30]})

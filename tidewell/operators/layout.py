@@ -32,6 +32,8 @@ from tidewell.types import NO_DATA
 SHARD_ROWS = 150_000
 MAX_SHARDS = 50_000
 SAMPLE_ROWS = 400_000
+#: Rows of a task after the exchange, at most about so many; fewer where spark.sql.shuffle.partitions asks for more tasks.
+TASK_ROWS = 2_000_000
 
 _CUTS = T.StructType([
     T.StructField("id", T.LongType()),
@@ -44,9 +46,10 @@ _CUTS = T.StructType([
 
 @dataclass
 class ShardPlan:
-    """cuts: for each large series the first times of its shards 1, 2, ..., ascending."""
+    """cuts: for each large series the first times of its shards 1, 2, ..., ascending. rows: of the table, where known."""
 
     cuts: dict[int, list[int]] = field(default_factory=dict)
+    rows: int = 0
 
     @property
     def hot(self) -> bool:
@@ -86,7 +89,7 @@ def plan_shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, max_shards: int =
     n = rows.count() if total is None else total
     target = max(shard_rows, -(-n // max_shards))
     if n <= target:
-        return ShardPlan()
+        return ShardPlan(rows=n)
     share = min(1.0, sample_rows / n)
     grid = 1_000_003
     sample = (
@@ -106,7 +109,17 @@ def plan_shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, max_shards: int =
             at = {int(own[len(own) * i // shards]) for i in range(1, shards)} - {int(own[0])}
             if at:
                 cuts[int(ids[a])] = sorted(at)
-    return ShardPlan(cuts)
+    return ShardPlan(cuts, n)
+
+
+def exchanged(rows: DataFrame, plan: ShardPlan) -> DataFrame:
+    """Rows by id and shard, or by id where no series is cut: the planner takes a constant out of a window's keys, and would not see that
+    an exchange by both serves it. Tasks don't outgrow memory with the table: if the session's number of partitions is too small for it, there
+    are more; else the adaptive planner may put small ones together."""
+    n, keys = -(-plan.rows // TASK_ROWS), ("id", "shard") if plan.hot else ("id",)
+    if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows.repartition(n, *keys)
+    return rows.repartition(*keys)
 
 
 def with_shard(rows: DataFrame, plan: ShardPlan, time: Column | str = "time") -> DataFrame:
@@ -138,8 +151,7 @@ def ordered_rows(rows: DataFrame, plan: ShardPlan, keep: tuple[str, ...] = (), s
                                                   F.col("value").asc_nulls_first())
     placed = rows.where(F.col("id").isNotNull() & F.col("time").isNotNull()).select("id", "time", "value", "flag", "seq", *keep)
     return (
-        with_shard(placed, plan, shard_time)
-        .repartition("id", "shard")
+        exchanged(with_shard(placed, plan, shard_time), plan)
         .withColumn("_next", F.lead("time").over(w))
         .where(F.col("_next").isNull() | (F.col("_next") != F.col("time")))
         .select("id", "shard", "time", "value", "flag", *keep)
