@@ -40,6 +40,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_grid(spark, d).where(F.col("status") != "reading").select("id", "slot_start")
 
 
+def p3_slots(spark: SparkSession, d: str) -> DataFrame:
+    return p3_grid(spark, d).select("id", "slot_start", "n_readings", "status")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible(table(spark, d, "meas"), table(spark, d, "scheme"), table(spark, d, "quantity_limits")).select("id", "time")
 
@@ -84,6 +88,13 @@ P3_FOUND_SQL = f"""WITH {CURRENT}, slots AS (
 missing AS (SELECT id, interval, unnest(generate_series(slot + 1, next - 1)) AS slot FROM gaps WHERE next > slot + 1)
 SELECT id, ({_SLOT_START})::BIGINT AS slot_start FROM missing"""
 
+P3_SLOTS_SQL = f"""WITH {CURRENT}, slots AS (
+  SELECT id, interval, {_SLOT} AS slot, count(*) AS n FROM cur JOIN scheme USING (id) WHERE interval IN ('minute', 'halfhour', 'hour', 'day', 'week', 'month') GROUP BY ALL
+), gaps AS (SELECT *, coalesce(lead(slot) OVER (PARTITION BY id ORDER BY slot), slot + 1) AS next FROM slots),
+every AS (SELECT id, interval, slot AS own, n, next, unnest(generate_series(slot, next - 1)) AS slot FROM gaps)
+SELECT id, ({_SLOT_START})::BIGINT AS slot_start, CASE WHEN slot = own THEN n ELSE 0 END AS n_readings,
+  CASE WHEN slot = own THEN 'reading' WHEN next - own <= 25 THEN 'filled' ELSE 'gap' END AS status FROM every"""
+
 P5_FOUND_SQL = f"""WITH {CURRENT}, a AS (
   SELECT *, abs(value - lag(value) OVER s) AS d, row_number() OVER s AS rn FROM cur WINDOW s AS (PARTITION BY id ORDER BY time)
 ), step AS (SELECT id, median(d) AS step FROM a GROUP BY id),
@@ -116,5 +127,5 @@ FROM (SELECT id, CASE WHEN NOT isnan(value) THEN value END AS v FROM meas) GROUP
 
 P6_FOUND_SQL = "SELECT id FROM meas GROUP BY id HAVING count(*) > 0.03 * (SELECT count(*) FROM meas)"
 
-QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_grid": p3_grid, "p5_found": p5_found, "p6_found": p6_found, "p6_totals": p6_totals}
-SQL = {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_ROLLING_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_totals": P6_TOTALS_SQL}
+QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_grid": p3_grid, "p3_slots": p3_slots, "p5_found": p5_found, "p6_found": p6_found, "p6_totals": p6_totals}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_ROLLING_SQL, "p3_found": P3_FOUND_SQL, "p3_slots": P3_SLOTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_totals": P6_TOTALS_SQL}
