@@ -38,6 +38,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all containers, put together again by document."""
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "text")))
+    return p7_containers(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("whole")).select(
+        "doc_id", F.length("whole").cast("long").alias("n_chars"), F.md5(F.encode("whole", "UTF-8")).alias("digest"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -61,6 +68,8 @@ FROM g GROUP BY id, run"""
 
 P4_FOUND_SQL = f"SELECT id, time_from, time_to FROM ({P4_RUNS_SQL}) WHERE n >= 3"
 
+P7_ROUNDTRIP_SQL = "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents"
+
 P8_FOUND_SQL = r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 9)) AS k FROM iw)),
 one AS (SELECT g, min(item_id) AS item_id FROM ig GROUP BY g HAVING count(*) = 1),
@@ -69,7 +78,7 @@ dg AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id,
 SELECT DISTINCT doc_id, item_id FROM dg JOIN one USING (g)"""
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_runs": p4_runs, "p7_containers": p7_containers,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_runs": p4_runs, "p7_containers": p7_containers, "p7_roundtrip": p7_roundtrip,
     "p8_found": p8_found, "p9_found": p9_found,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL, "p4_runs": P4_RUNS_SQL, "p8_found": P8_FOUND_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL, "p4_runs": P4_RUNS_SQL, "p7_roundtrip": P7_ROUNDTRIP_SQL, "p8_found": P8_FOUND_SQL}
