@@ -302,8 +302,8 @@ def test_anomalies_of_odd_tables(spark, meas):
 
 def test_totals_by_key(meas):
     data = delivered(seed=8) + [(None, 1, 2.0, 0, 1), (None, 2, None, 0, 2), (-5, 1, None, 0, 1), (2**62, 1, 1.5, 0, 1)]
-    for blocks in (1, 5):
-        got = {r["id"]: r for r in totals_by_key(meas(data).repartition(5), blocks=blocks).collect()}
+    for blocks, levels in ((1, None), (5, 1), (2, 3)):
+        got = {r["id"]: r for r in totals_by_key(meas(data).repartition(5), blocks=blocks, levels=levels).collect()}
         assert set(got) == {r[0] for r in data}
         for i, r in got.items():
             own = [x for x in data if x[0] == i]
