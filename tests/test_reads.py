@@ -108,6 +108,13 @@ def test_stat_and_its_merge(meas):
     assert reads.merge_stats(parts, ["id"]).first() == r
 
 
+@pytest.mark.parametrize("start,end", [(0, 10**12), (5, 86_400_000 * 3 + 7), (86_400_000, 86_400_000 * 2 - 1), (3, 9), (86_400_000 - 1, 86_400_000), (10, 5)])
+def test_stat_from_day_states(meas, start, end):
+    rng = random.Random(7)
+    m = meas([(rng.randrange(3), rng.randrange(5 * 86_400_000) if k % 5 else rng.choice([0, 86_400_000 - 1, 86_400_000, 86_400_000 * 3]), float(rng.randrange(9)), rng.randrange(4)) for k in range(300)])
+    assert sorted(rows(reads.range_stat_from(reads.day_states(m), m, start, end))) == sorted(rows(reads.range_stat(m, start, end)))
+
+
 def test_jenkins_and_bloom(spark):
     from tidewell.functions.hashing import bloom, bloom_check, jenkins
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.hashing import jenkins
 from tidewell.functions.predicates import in_flag, in_interval
+from tidewell.functions.timeutil import epoch_day
 from tidewell.operators.layout import is_reading, ordered_rows, plan_shards, with_shard
-from tidewell.types import MAX_TIME, NO_DATA, clamp_time
+from tidewell.types import DAY, MAX_TIME, NO_DATA, clamp_time
 
 _ROW = ["id", "time", "value", "flag"]
 
@@ -171,6 +172,23 @@ def merge_stats(stats: DataFrame, by: list[str]) -> DataFrame:
         F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.sum("sum").alias("sum"))
 
 
+def day_states(rows: DataFrame) -> DataFrame:
+    """The state of each id and UTC day: a summary table that is worth keeping beside the rows, as it grows with days and not with
+    readings. Days of new or changed rows are computed again and replaced."""
+    return stat_of(current_readings(rows).withColumn("day", epoch_day("time")), ["id", "day"])
+
+
+def range_stat_from(states: DataFrame, rows: DataFrame, start: int, end: int) -> DataFrame:
+    """`range_stat` from kept day states: rows are read only of the two days that the range cuts."""
+    start, end = clamp_time(start), clamp_time(end)
+    first, last = -(-start // DAY), (end + 1) // DAY - 1  # whole days
+    if last < first:
+        return range_stat(rows, start, end)
+    whole = states.where(F.col("day").between(first, last)).drop("day")
+    cut = rows.where((F.col("time") >= start) & (F.col("time") < first * DAY) | (F.col("time") >= (last + 1) * DAY) & (F.col("time") <= end))
+    return merge_stats(whole.unionByName(stat_of(current_readings(cut), ["id"])), ["id"])
+
+
 def copy_series(rows: DataFrame, to_id) -> DataFrame:
     """The rows under other ids: to_id is a Column of the new id."""
     return rows.withColumn("id", to_id)

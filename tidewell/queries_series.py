@@ -173,8 +173,14 @@ def range_stat(spark, d):
 @query(_STAT_SQL + " GROUP BY id")
 def range_stat_merge(spark, d):
     """States by day, merged."""
-    daily = reads.stat_of(reads.current_readings(_meas(spark, d)).withColumn("day", timeutil.epoch_day("time")), ["id", "day"])
-    return reads.merge_stats(daily, ["id"]).withColumn("sum", settled("sum"))
+    return reads.merge_stats(reads.day_states(_meas(spark, d)), ["id"]).withColumn("sum", settled("sum"))
+
+
+@query(SQL["range_stat"])
+def range_stat_summary(spark, d):
+    """Whole days from their states, the two that are cut from the rows."""
+    m = _meas(spark, d)
+    return reads.range_stat_from(reads.day_states(m), m, FROM, TO).withColumn("sum", settled("sum"))
 
 
 @query(f"WITH {_jenkins_sql('meas')} SELECT flag, h AS hash FROM hashed")
