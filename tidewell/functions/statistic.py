@@ -51,42 +51,52 @@ def percentile_rows(rows: DataFrame, by: list[str], ps: dict[str, float]) -> Dat
     """by, fn, value, time, flag for each group and each p: of n rows in order of (value, time, flag) the one at floor(p n),
     counted from 0. Of two rows: the mean of both values, the later time, the flag of the earlier row.
 
-    rows: by, time, value, flag, without null or NaN values.
+    rows: by, time, value, flag, without null or NaN values. What comes together of a group is the rows between its bounds, for each p
+    about five in ACCURACY of them, and a count for each gap.
     """
-    accuracy = F.lit(ACCURACY)
-    bounds = [x for p in ps.values() for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
-    groups = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("value", F.array(*[F.lit(b) for b in bounds]), accuracy).alias("_b"),
-        F.avg("value").alias("_mean"), F.max("time").alias("_last"), F.min_by("flag", F.struct("time", "value")).alias("_first"),
-        F.min("value").alias("_min"), F.max("value").alias("_max"))
     from tidewell.plans.cut import written
 
-    groups = written(groups, "bounds")  # read twice: for its size and for the join
-    if groups.count() <= MAX_BROADCAST_GROUPS:
-        joined = rows.join(F.broadcast(groups), by)
-    else:
-        joined = rows.join(groups, by)  # large groups are split by the adaptive planner
-    marks = []
-    for i, (fn, p) in enumerate(ps.items()):
-        # The sketch may give the extremes only roughly; the ends are taken exactly.
-        low = F.when(F.col("_n") * p < F.lit(4.0), F.col("_min")).otherwise(F.get("_b", F.lit(2 * i)))
-        high = F.when(F.col("_n") * (1 - p) < F.lit(4.0), F.col("_max")).otherwise(F.get("_b", F.lit(2 * i + 1)))
-        row = F.when(F.col("value") >= low, F.struct("value", "time", "flag"))
-        marks.append(F.when(F.col("value") <= high, F.struct(F.lit(fn).alias("fn"), F.floor(F.lit(float(p)) * F.col("_n")).alias("pos"), row.alias("row"))))
+    named = sorted(ps.items(), key=lambda x: x[1])
+    wanted = [x for _, p in named for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
+    n = F.col("_n")
+    # The sketch may give the extremes only roughly; near the ends the least and largest value are the bounds.
+    bounds = {}
+    for i, (_, p) in enumerate(named):
+        bounds |= {f"_low{i}": F.when(n * p < 4.0, F.col("_min")).otherwise(F.get("_b", F.lit(2 * i))),
+                   f"_high{i}": F.when(n * (1 - p) < 4.0, F.col("_max")).otherwise(F.get("_b", F.lit(2 * i + 1)))}
+    # Read three times: for their number and for two joins.
+    groups = written(
+        rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"), F.percentile_approx("value", F.array(*[F.lit(b) for b in wanted]), F.lit(ACCURACY)).alias("_b"), F.avg("value").alias("_mean"),
+            F.max("time").alias("_last"), F.min_by("flag", F.struct("time", "value")).alias("_first"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+        .select(*by, "_n", "_mean", "_last", "_first", *[c.alias(k) for k, c in bounds.items()]), "bounds")
+    few = groups.count() <= MAX_BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda df: df)  # beyond, large groups are split by the adaptive planner
+    joined = rows.join(small(groups.select(*by, *bounds)), by)
+    v = F.col("value")
+    kept, above = F.lit(False), F.lit(0)
+    for i in range(len(named)):
+        kept = kept | ((v >= F.col(f"_low{i}")) & (v <= F.col(f"_high{i}")))
+        above = above + (v > F.col(f"_high{i}")).cast("int")
+    # Of rows between bounds the rows themselves stay, of others the number in each gap.
     counted = (
-        joined.select(*by, "_n", "_mean", "_last", "_first", F.explode(F.array_compact(F.array(*marks))).alias("m"))
-        .select(*by, "_n", "_mean", "_last", "_first", "m.*")
-        .groupBy(*by, "_n", "_mean", "_last", "_first", "fn", "pos", "row").agg(F.count(F.lit(1)).alias("_k"))
+        joined.select(*by, above.alias("_gap"), kept.alias("_kept"), "value", "time", "flag")
+        .groupBy(*by, "_gap", "_kept", *[F.when(F.col("_kept"), F.col(c)).alias(c) for c in ("value", "time", "flag")])
+        .agg(F.count(F.lit(1)).alias("_k"))
     )
-    order = [F.col("row").isNotNull(), F.col("row.value"), F.col("row.time"), F.col("row.flag").asc_nulls_first()]
-    upto = F.sum("_k").over(Window.partitionBy(*by, "fn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    group = Window.partitionBy(*by)
+    order = group.orderBy("_gap", "_kept", "value", "time", F.col("flag").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"_upto": F.sum("_k").over(order), "_all": F.sum("_k").over(group)})
+    at = []
+    for fn, p in named:
+        pos = F.floor(F.lit(float(p)) * F.col("_all"))
+        at.append(F.when((F.col("_upto") > pos) & (F.col("_upto") - F.col("_k") <= pos), F.lit(fn)))
     two = F.col("_n") == 2
     return (
-        counted.withColumn("_upto", upto)
-        .where((F.col("_upto") > F.col("pos")) & (F.col("_upto") - F.col("_k") <= F.col("pos")))
-        .select(*by, "fn", F.when(two, F.col("_mean")).otherwise(F.col("row.value")).alias("value"),
-                F.when(two, F.col("_last")).otherwise(F.col("row.time")).alias("time"),
-                F.when(two, F.col("_first")).otherwise(F.col("row.flag")).alias("flag"))
+        ranked.select(*by, F.explode(F.array_compact(F.array(*at))).alias("fn"), "value", "time", "flag")
+        .join(small(groups.select(*by, "_n", "_mean", "_last", "_first")), by)
+        .select(*by, "fn", F.when(two, F.col("_mean")).otherwise(F.col("value")).alias("value"),
+                F.when(two, F.col("_last")).otherwise(F.col("time")).alias("time"), F.when(two, F.col("_first")).otherwise(F.col("flag")).alias("flag"))
     )
 
 
