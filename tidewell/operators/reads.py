@@ -159,10 +159,11 @@ def range_stat(rows: DataFrame, start: int = 0, end: int = MAX_TIME, by: list[st
 
 
 def stat_of(readings: DataFrame, by: list[str]) -> DataFrame:
-    return readings.groupBy(*by).agg(
-        F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.count(F.lit(1)).alias("count"),
-        F.bit_or(jenkins(F.coalesce("flag", F.lit(0).cast("long")))).alias("flag_bloom"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.sum("value").alias("sum"))
+    """By flag first, as hashing a flag takes longer than counting a row."""
+    by_flag = readings.groupBy(*by, F.coalesce("flag", F.lit(0).cast("long")).alias("_flag")).agg(
+        F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.count(F.lit(1)).alias("count"), F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"), F.sum("value").alias("sum"))
+    return merge_stats(by_flag.withColumn("flag_bloom", jenkins("_flag")), by)
 
 
 def merge_stats(stats: DataFrame, by: list[str]) -> DataFrame:
