@@ -298,6 +298,17 @@ def test_anomalies_of_odd_tables(spark, meas):
     assert implausible(odd, *none).count() == 0
 
 
+def test_cut_series_without_readings(spark, meas):
+    none = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([], "quantity string, min_value double, max_value double")
+    gone = [(1, t, 0.0, NO_DATA) for t in range(100)]
+    some = [(2, t, None if t != 50 else 7.0, 0) for t in range(100)]
+    grid = spark.createDataFrame([(1, "minute"), (2, "minute")], "id long, interval string")
+    for rows, n in ((gone, 0), (gone + some, 1), (some + [(3, 1, 1.0, 0)], 2)):
+        assert score_readings(meas(rows), *none, shard_rows=10).count() == n
+        assert rolling_totals(meas(rows), shard_rows=10).count() == n
+        assert regular_grid(meas(rows), grid, shard_rows=10).count() == n - (len(rows) == 101)
+
+
 # p6
 
 def test_totals_by_key(meas):
