@@ -61,3 +61,13 @@ def test_odd_rows(meas):
     inf = float("inf")
     odd = meas([(1, 1, inf, 0), (1, 2, inf, 0), (None, 1, 1.0, 0), (2, None, 1.0, 0), (3, 1, 1.0, None), (3, 2, 1.0, None)]).withColumn("shard", F.lit(1)).withColumn("n", F.lit(1))
     assert sorted((r["id"], r["n"]) for r in collapse_runs(odd).collect()) == [(1, 1), (1, 1), (3, 2)]
+
+
+def test_cut_series_without_readings(meas):
+    from tidewell.llm.digest import series_quantiles
+
+    gone = [(1, t, 0.0, 4294967295) for t in range(100)]
+    some = [(2, t, None if t != 50 else 7.0, 0) for t in range(100)]
+    for rows, n in ((gone, 0), (gone + some, 1)):
+        assert collapse_runs(meas(rows), shard_rows=10).count() == n
+        assert [r["exact"] for r in series_quantiles(meas(rows), [0.5], shard_rows=10).collect()] == [7.0] * n
