@@ -264,12 +264,12 @@ def test_streams(spark, meas, tmp_path):
     q = sub.deliver(sub.subscribe(stream, [2, 1], 1), lambda b, n: seen.extend(b.collect()), str(tmp_path / "c1"), once=True)
     q.awaitTermination()
     assert len(seen) == m.where("id in (1, 2) and flag = 1").count()
-    got = rows(sub.run_to_table(sub.windowed_rollup(stream, "halfhour"), "w1", str(tmp_path / "c2")), "id", "bucket", "n", "low", "high")
+    got = rows(sub.run_to_table(sub.windowed_rollup(stream, "halfhour"), str(tmp_path / "w1"), str(tmp_path / "c2")), "id", "bucket", "n", "low", "high")
     want = rows(m.where("value is not null").groupBy("id", (F.col("time") - F.col("time") % 1_800_000).alias("bucket")).agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
     assert sorted(got) == sorted(want)
     assert rows(sub.windowed_rollup(m, "week"), "bucket")[0][0] == -3 * DAY
     assert sub.windowed_rollup(stream, "hour", late_ms=1000).isStreaming
-    last = {r["id"]: r["time"] for r in sub.run_to_table(sub.latest_values(stream), "l1", str(tmp_path / "c3")).collect()}
+    last = {r["id"]: r["time"] for r in sub.run_to_table(sub.latest_values(stream), str(tmp_path / "l1"), str(tmp_path / "c3")).collect()}
     assert last == {i: (295 + i) * 60_000 for i in range(5)}
 
 

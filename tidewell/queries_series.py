@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from tidewell.operators import reads
 
 from tidewell.plans import rollup as rollups
 from tidewell.plans import scheme as schemes
+from tidewell.plans.cut import shared_folder
 from tidewell.plans.json_api import series_json
 from tidewell.plans.settings import Settings
 from tidewell.queries_data import CURRENT, settled
@@ -438,22 +438,8 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Into Parquet files of the shared folder if rows are appended, else into memory (one row for each key)."""
-    from tidewell.plans.cut import shared_folder
-
-    spark = stream.sparkSession
-    if mode == "append":
-        import uuid
-
-        base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    at = tempfile.mkdtemp(prefix="tidewell-stream-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{shared_folder(spark)}/{name}-{id(stream):x}"
-    try:
-        return subscriptions.run_to_table(stream, f"{name}_{id(stream):x}", at, mode)
-    finally:
-        shutil.rmtree(at, ignore_errors=True)
+    at = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return subscriptions.run_to_table(stream, f"{at}/out", f"{at}/state", mode)
 
 
 @query("SELECT id, time, value, flag FROM meas WHERE flag = 1")

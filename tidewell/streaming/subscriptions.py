@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.functions.predicates import subscribed
 from tidewell.operators.layout import is_reading
+from tidewell.plans.folder import Folder
 from tidewell.types import INTERVALS
 
 
@@ -52,11 +53,22 @@ def latest_values(rows: DataFrame) -> DataFrame:
     return some.groupBy("id").agg(F.max_by(F.struct("time", "value", "flag"), F.struct("time", "seq", "flag", "value")).alias("r")).select("id", "r.*")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives its result as a DataFrame; for results of bounded size."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and gives its result: all rows of the last batch (mode complete) or of all batches (append),
+    from Parquet files under `path`. Nothing comes to the driver."""
+    spark, done = stream.sparkSession, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        if mode == "complete" and done:
+            Folder(path, spark).remove(str(done.pop()))
+        done.append(number)
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{n}" for n in done])
 
 
 def rolled_by_touched(spark: SparkSession, store, rollup: Callable[[DataFrame], DataFrame], key: list[str], bucket: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
