@@ -279,6 +279,25 @@ def test_implausible(spark, meas, cut, seed):
     assert got == expected(data, {7: (0, 100), 10: (0, 100)}) and len(got) > 20
 
 
+@pytest.mark.parametrize("cut", [{"shard_rows": 20, "block_rows": 7}, {"shard_rows": 30, "block_rows": 9}, {"shard_rows": 50, "block_rows": 16}])
+def test_last_blocks_of_few_readings(spark, meas, cut):
+    """Shards whose last block holds 1 to 6 readings: the block before it sees into the next shard."""
+    none = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([], "quantity string, min_value double, max_value double")
+    rng = random.Random(12)
+    data = []
+    for i, stretch in ((1, 1), (2, 3), (3, 9)):  # in series 1 and 2 spikes, in 3 stuck values, all the way
+        own = []
+        while len(own) < 900:
+            own += [round(50 + rng.gauss(0, 1), 3) for _ in range(rng.randrange(9, 14))]
+            own += [own[-1] if i == 3 else 250.0 + rng.random() for _ in range(stretch)]
+        data += [(i, 1000 * k, v, 0) for k, v in enumerate(own)]
+    rows = meas(data)
+    sizes = [r["n"] for r in with_shard(rows, plan_shards(rows, shard_rows=cut["shard_rows"])).groupBy("id", "shard").agg(F.count("*").alias("n")).collect()]
+    assert sum(n > cut["block_rows"] and 1 <= n % cut["block_rows"] <= 6 for n in sizes) > 5
+    got = {(r["id"], r["time"]) for r in score_readings(rows, *none, **cut).where("spike OR stuck").collect()}
+    assert got == expected([(*r, k) for k, r in enumerate(data)], {}) and len(got) > 300
+
+
 def test_scores_do_not_depend_on_the_cut(spark, meas):
     data = sensor(3)
     none = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([], "quantity string, min_value double, max_value double")
