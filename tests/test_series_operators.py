@@ -298,6 +298,21 @@ def test_last_blocks_of_few_readings(spark, meas, cut):
     assert got == expected([(*r, k) for k, r in enumerate(data)], {}) and len(got) > 300
 
 
+@pytest.mark.parametrize("cut", [{"shard_rows": 200}, {"shard_rows": 10**9}])
+def test_usual_spikes(spark, meas, cut):
+    """Series in which many readings are spikes by the rule, so that the forest finds them as usual as others."""
+    none = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([], "quantity string, min_value double, max_value double")
+    rng = random.Random(5)
+    data = []
+    for i in range(40):  # three high, three low; three of nine high; nine readings with three of them high; 40 readings with one high
+        n, every, high = ((600, 6, 3), (600, 9, 3), (9, 9, 3), (40, 40, 1))[i % 4]
+        data += [(i, 1000 * k, round(rng.gauss(0, 1) + (500 if (k - 3) % every < high else 0), 3), 0) for k in range(n)]
+    scored = score_readings(meas(data), *none, **cut).where("spike").collect()
+    assert all(r["candidate"] for r in scored)
+    got = {(r["id"], r["time"]) for r in implausible(meas(data), *none, **cut).collect()}
+    assert got == expected([(*r, k) for k, r in enumerate(data)], {}) and {i for i, _ in got} == set(range(40))
+
+
 def test_scores_do_not_depend_on_the_cut(spark, meas):
     data = sensor(3)
     none = spark.createDataFrame([], "id long, name string"), spark.createDataFrame([], "quantity string, min_value double, max_value double")
