@@ -49,6 +49,20 @@ def test_best_fit_against_search():
     assert sorted(plain) == sorted(r for r, own in enumerate(bins.at) for _ in own)
 
 
+def test_a_split_is_packed_as_a_whole(spark, monkeypatch):
+    """However many windows a split is read in, its texts are placed in order of falling size of the whole split."""
+    monkeypatch.setattr(packing, "WINDOW_DOCS", 20)
+    rng = random.Random(4)
+    data = [(k, " a" * rng.randrange(0, 130)) for k in range(500)]
+    got = packing.pack_documents(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), 256).toPandas()
+    assert dict(zip(got.doc_id, got.text)) == dict(data) and len(got) == 500
+    bins, fill = packing.OpenContainers(256), {}
+    for n in sorted(got.n_tokens.tolist(), reverse=True):
+        k = bins.put(n)
+        fill[k] = fill.get(k, 0) + n
+    assert sorted(got.groupby("container").n_tokens.sum()) == sorted(fill.values())
+
+
 def test_packing_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (None, "a b"), (2, "same"), (2, "same"), (3, "")], "doc_id long, text string").coalesce(1)
     got = rows(packing.pack_documents(df), "doc_id", "container", "n_tokens", "text")

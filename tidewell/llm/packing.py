@@ -5,18 +5,22 @@ container with the least room that still holds it. A segment tree over the
 possible remaining capacities finds that container in steps logarithmic in the
 capacity, however many containers are open.
 
-Every input split fills its own containers, so no text is moved. A split is
-read in windows of bounded size; each window is sorted by size and goes into
-the containers that are open, including those of earlier windows, so a split
-ends with few that aren't full.
+Every input split fills its own containers, so no text is moved. A split's
+texts are counted in windows of bounded size and put by in a compressed file of
+Spark's local folder; only their sizes are held. These are sorted for the whole
+split and get their containers, with which the file is then read back.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import tempfile
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -128,6 +132,18 @@ def split_text(text: str, total: int, capacity: int, count: Callable[[list[str]]
     return out
 
 
+def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The container of each size, best-fit decreasing; of equal sizes the first comes first. -1 for negative sizes."""
+    bins, where = OpenContainers(capacity), np.full(len(sizes), -1, np.int64)
+    for k in np.argsort(-sizes, kind="stable"):
+        if sizes[k] < 0:
+            break
+        where[k] = bins.put(int(sizes[k]))
+    return where
+
+
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_pieces", pa.int32()), ("n_tokens", pa.int32()), ("text", pa.string())])
+
 _OUT = "container long, doc_id long, piece int, n_pieces int, n_tokens int, text string"
 
 
@@ -148,37 +164,46 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: st
         count = token_counter(tokenizer)
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 40
-        bins = OpenContainers(capacity)
+        held = array("i")  # tokens of the pieces in the file, -1 for a null text
 
-        def place(ids: list, texts: list) -> pa.RecordBatch:
+        def counted(ids: list, texts: list) -> pa.RecordBatch:
             here = [t for t in texts if t is not None]
             sizes = iter(count(here))
             items = []
             for i, t in zip(ids, texts):
                 n = None if t is None else next(sizes)
                 if n is None or n <= capacity:
-                    items.append((n, i, 0, 1, t))
+                    items.append((i, 0, 1, n or 0, t))
                 else:
                     parts = split_text(t, n, capacity, count)
-                    items += [(k, i, j, len(parts), t[a:b]) for j, (a, b, k) in enumerate(parts)]
-            items.sort(key=lambda x: -1 if x[0] is None else x[0], reverse=True)
-            where = [None if x[0] is None else base + bins.put(x[0]) for x in items]
-            n, i, j, k, t = zip(*items)
-            return pa.RecordBatch.from_pydict({
-                "container": pa.array(where, pa.int64()), "doc_id": pa.array(i, pa.int64()), "piece": pa.array(j, pa.int32()),
-                "n_pieces": pa.array(k, pa.int32()), "n_tokens": pa.array([x or 0 for x in n], pa.int32()), "text": pa.array(t, pa.string()),
-            })
-
-        ids, texts, chars = [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                chars += len(t or "")
-                if len(ids) >= WINDOW_DOCS or chars >= WINDOW_CHARS:
-                    yield place(ids, texts)
-                    ids, texts, chars = [], [], 0
-        if ids:
-            yield place(ids, texts)
+                    items += [(i, j, len(parts), k, t[a:b]) for j, (a, b, k) in enumerate(parts)]
+            held.extend(-1 if x[4] is None else x[3] for x in items)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*items), _COUNTED)], schema=_COUNTED)
+
+        def windows() -> Iterator[pa.RecordBatch]:
+            ids, texts, chars = [], [], 0
+            for b in batches:
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    ids.append(i)
+                    texts.append(t)
+                    chars += len(t or "")
+                    if len(ids) >= WINDOW_DOCS or chars >= WINDOW_CHARS:
+                        yield counted(ids, texts)
+                        ids, texts, chars = [], [], 0
+            if ids:
+                yield counted(ids, texts)
+
+        local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+        with tempfile.NamedTemporaryFile(dir=local, prefix="texts-") as file:
+            with pa.ipc.new_stream(file, _COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for w in windows():
+                    out.write_batch(w)
+            where, at = assign(np.array(held, np.int32), capacity), 0
+            file.seek(0)
+            with pa.ipc.open_stream(file) as stored:
+                for w in stored:
+                    own = where[at:at + w.num_rows]
+                    at += w.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(base + own, pa.int64(), mask=own < 0), *w.columns], names=["container", *_COUNTED.names])
 
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(fill, _OUT)
