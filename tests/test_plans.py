@@ -10,7 +10,7 @@ from tidewell.plans.json_api import JsonApi
 from tidewell.plans.settings import Settings
 from tidewell.plans.storage import LockedError, ShardedStore, Store, memory_only_storage, open_storage
 from tidewell.streaming import subscriptions as sub
-from tidewell.types import DAY, MAX_ID, NO_DATA, STATS
+from tidewell.types import DAY, MAX_ID, MAX_TIME, NO_DATA, STATS
 
 
 def rows(df, *cols):
@@ -95,6 +95,14 @@ def test_backfill_includes_the_open_period(spark, meas):
     assert got == [(ids["a.count.hour"], h + 2, 3.0, 0), (ids["a.count.hour"], 2 * h + 5, 1.0, 0)]
 
 
+def test_least_current_time(spark, meas):
+    scheme = spark.createDataFrame([(1, "hour"), (2, "hour"), (3, "day"), (4, "hour"), (6, "week")], "id long, interval string")
+    m = meas([(1, 5, 1.0, 0), (1, 90, 1.0, 0), (2, 70, 1.0, 0), (2, 70, 2.0, 4), (3, 10, 1.0, 0), (5, 1, 1.0, 0), (None, 0, 1.0, 0), (4, None, 1.0, 0)])
+    for interval, least in (("hour", 70), ("day", 10), ("week", MAX_TIME), ("month", MAX_TIME)):
+        assert rows(ro.least_current_time(m, scheme, interval)) == [(least,)]
+    assert rows(ro.least_current_time(meas([]), scheme, "hour")) == [(MAX_TIME,)]
+
+
 def test_retention_and_erasure(spark, meas):
     scheme = spark.createDataFrame([(1, "raw"), (2, "year"), (3, None)], "id long, interval string")
     m = meas([(i, t, 1.0, 0) for i in (1, 2, 3, 4) for t in (0, 10 * DAY)])

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from tidewell.functions.statistic import available, calculate
 from tidewell.functions.timeutil import bucket_start, bucket_start_of
 from tidewell.operators.layout import is_reading
-from tidewell.operators.reads import dedupe
+from tidewell.operators.reads import current_value, dedupe
 from tidewell.plans.cut import written
-from tidewell.plans.scheme import NAME_INTERVALS, linked
+from tidewell.plans.scheme import NAME_INTERVALS, linked, of_interval
 from tidewell.plans.settings import Settings
-from tidewell.types import INTERVALS
+from tidewell.types import INTERVALS, MAX_TIME
 
 
 def rollup(readings: DataFrame, interval: str, functions: Iterable[str], by: str = "id") -> DataFrame:
@@ -85,6 +85,13 @@ def backfill(rows: DataFrame, links: DataFrame) -> DataFrame:
     return _wanted(known, due)
 
 
+def least_current_time(rows: DataFrame, scheme: DataFrame, interval: str) -> DataFrame:
+    """One row: time, the least one of the current values of the interval's series; the largest time if none of them has a row, also
+    where the interval has no series (the reference then takes all series, as its current values do without ids)."""
+    own = current_value(rows).join(of_interval(scheme, interval), "id", "left_semi")
+    return own.agg(F.coalesce(F.min("time"), F.lit(MAX_TIME).cast("long")).alias("time"))
+
+
 def next_fire(time: int, interval: str) -> int:
     """When a roll-up that ran at `time` runs next: the last ms of the period that holds the middle of the next one."""
     import datetime as dt

@@ -18,7 +18,7 @@ from tidewell.plans.settings import Settings
 from tidewell.queries_data import CURRENT, settled
 from tidewell.sources.tables import events_series, negated_series, order_series, supply_series, table
 from tidewell.streaming import subscriptions
-from tidewell.types import INTERVALS, NO_DATA
+from tidewell.types import INTERVALS, MAX_TIME, NO_DATA
 
 # Arguments of the queries: a stretch of time, a moment, an hour before all data.
 FROM, TO, AT, EARLY = 1_294_500_000_000, 1_297_000_000_000, 1_296_000_000_000, 1_000_000_000_000
@@ -385,6 +385,12 @@ def rollup_links(spark, d):
     return rollups.rollup_links(reads.dedupe(rows), schemes.linked(_chain_scheme(spark, d)).where("src_interval = 'raw'")).withColumn("value", settled("value"))
 
 
+@query(f"""WITH {LATEST}, r AS (SELECT id, max(time) AS time FROM latest GROUP BY id)
+SELECT coalesce(min(time), {MAX_TIME}) AS time FROM r WHERE id IN (SELECT id FROM scheme WHERE interval = 'hour')""")
+def least_current_time(spark, d):
+    return rollups.least_current_time(_meas(spark, d), table(spark, d, "scheme"), "hour")
+
+
 _LIFE = "CASE interval " + " ".join(f"WHEN '{i}' THEN {Settings().lifetime_for(i)}" for i in ("raw", "minute", "halfhour", "hour", "day", "week", "month")) + " END"
 
 
