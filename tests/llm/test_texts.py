@@ -151,6 +151,39 @@ def test_residue(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+# Wording that is in none of the tables.
+UNSEEN_PAGES = """Please enable JavaScript to continue. | This page requires JavaScript. Please turn it on and refresh. | Your browser does not support JavaScript or it is disabled. | Hmm. We're having trouble finding that site.
+The page could not be loaded. Try again. | 504 Gateway Timeout nginx | HTTP ERROR 500 | Sorry, this page isn't available. The link you followed may be broken, or the page may have been removed. | Oops! That page can't be found.
+You have reached your API rate limit. Please wait 60 seconds. | We've detected unusual activity from your network. | Just a moment... Verifying you are human. This may take a few seconds. | We use cookies. Please accept cookies to continue.
+Session timed out, please log in. | You don't have access to this repository. | Service temporarily down. Please come back later. | The diff is too large to be displayed. | An internal error occurred while rendering the page. | This content is not available in your region.
+Connection timed out. The server took too long to respond. | Unable to load the patch. Check your network connection. | The database connection failed. Please contact the administrator. | Die Verbindung zum Server wurde unterbrochen. | Zugriff nicht erlaubt. Bitte melden Sie sich an. | JavaScript muss aktiviert sein.
+Désolé, cette page n'existe plus. | Vous devez vous connecter pour voir cette page. | Ha ocurrido un error inesperado. Vuelva a intentarlo más tarde. | El servidor no responde. | Você precisa habilitar o JavaScript. | A página que procura não existe.
+Si è verificato un errore. Riprova più tardi. | Pagina niet gevonden | Произошла ошибка сервера | JavaScript を有効にしてください | 页面未找到"""
+UNSEEN_TEMPLATES = ["<<TITLE>>\n\n<<BODY>>", "%TITLE%: %BODY%", "$TITLE ($TICKET)\n\n$BODY", "TODO: describe the change", "Your commit message here", "[Title]\n\n[Description]", "{title}\n\n{body}", "Subject line here\n\nBody text here", "Type: ____\nScope: ____",
+                    "short description\n\nlonger description", "asdf asdf asdf asdf", "foo bar baz qux foo", "null", "NaN: NaN", "<!-- Describe your changes -->", "«title» – «body»", "~TITLE~ ~BODY~", "@title@: @body@", "<Short summary of changes>",
+                    "## What does this PR do?\n\n## Why?\n\n## Testing", "Please fill in a commit message", "# Please enter the commit message for your changes.\n# Lines starting with '#' will be ignored.", "{0}: {1}", "XXXX XXXX XX", "Insert description"]
+REAL = """Handle 404 not found errors in the importer | Enable cookies on the login screen | Fix broken link on the start page | Server timeout is now 30 seconds | Show error page when session expired | Retry failed requests after timeout | Reject requests without session cookie
+Improve error message for denied access | Increase rate limit for service accounts | Page cache: evict entries once expired | Return 503 during maintenance | Update title and description | Change summary line | Add description | Fix title | Use <T> in reader | Add None check | Handle null and undefined
+Return null instead of None | Bump version from 1.2 to 1.3 | Support {{ name }} in templates | Fix ${HOME} expansion | Make %s formats safe | Add TODO list | fix fix fix | test test | Remove dead code | Describe the retry loop | Explain why the limit is needed
+Fehler im Seitenindex beim Beenden | Corrige l'erreur de connexion | Error codes for the page footer | Proxy: do not open a connection without need | Allow build script with large files"""
+
+
+def test_unseen_wording():
+    pages = residue.phrases(UNSEEN_PAGES)
+    assert [p for p in pages if residue.residue_kind("From 0123456789abcdef by a.b\nSubject: [PATCH] Add a limit\n---\n" + p) != "diff"] == []
+    assert len([p for p in pages if residue.residue_kind(p) is None]) <= 3  # alone, too little is said
+    assert [t for t in UNSEEN_TEMPLATES if residue.residue_kind(t + DIFF) != "message"] == []
+    assert [t for t in residue.phrases(REAL) if residue.residue_kind(t) or residue.residue_kind(t + DIFF)] == []
+
+
+def test_residue_of_any_length():
+    long = "Tighten the merge of sorted runs while rows are kept in order.\n\n" * 200 + "\n\n".join(["The page could not be loaded.", "Please reload the page.", "You may have to sign in again."] * 200)
+    assert residue.residue_kind(long) == "diff"
+    assert residue.residue_kind("<why this change is needed " + "and what it does " * 40 + ">: {{ " + "x" * 500 + " }}" + DIFF) == "message"
+    assert residue.residue_kind("Add a limit\n\ndiff --git a/x b/x\nindex 1..2 100644\n--- a/x\n+++ b/x\n<html><title>502 Bad Gateway</title></html>") == "diff"
+    assert residue.residue_kind("{{" * 200_000) is None and residue.residue_kind("<" * 200_000 + "_" * 9 + " a" * 9) is None
+
+
 def test_residue_of_odd_rows(spark):
     df = spark.createDataFrame([(None, None, "x"), (1, "", "y"), (1, "Not Found", None), (1, "Not Found", None), (2, "word " * 300_000, "z")], "doc_id long, text string, residue string")
     got = residue.find_residue(df)
