@@ -32,8 +32,11 @@ from tidewell.types import NO_DATA
 SHARD_ROWS = 150_000
 MAX_SHARDS = 50_000
 SAMPLE_ROWS = 400_000
-#: Rows of a task after the exchange, at most about so many; fewer where spark.sql.shuffle.partitions asks for more tasks.
+#: Rows and bytes of input of a task after an exchange, at most about so many; fewer where spark.sql.shuffle.partitions asks for more tasks.
 TASK_ROWS = 2_000_000
+TASK_BYTES = 128 << 20
+#: Tasks after an exchange at most: each input split reports a size for each of them to the driver. Beyond, tasks get larger and sort on disk.
+MAX_TASKS = 20_000
 
 _CUTS = T.StructType([
     T.StructField("id", T.LongType()),
@@ -46,10 +49,12 @@ _CUTS = T.StructType([
 
 @dataclass
 class ShardPlan:
-    """cuts: for each large series the first times of its shards 1, 2, ..., ascending. rows: of the table, where known."""
+    """cuts: for each large series the first times of its shards 1, 2, ..., ascending. rows: of the table, where known.
+    copies: (id, time) with so many rows that they alone exceed a shard."""
 
     cuts: dict[int, list[int]] = field(default_factory=dict)
     rows: int = 0
+    copies: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def hot(self) -> bool:
@@ -84,39 +89,71 @@ def plan_shards(rows: DataFrame, shard_rows: int = SHARD_ROWS, max_shards: int =
     """Cuts for the series of `rows` (columns id, time) that exceed one and a half shards.
 
     A shard aims at `shard_rows` rows, or at total / max_shards if that is more.
-    Rows are sampled by a hash of (id, time), so the plan is the same in every run.
+    Rows are sampled by a hash of (id, time, seq), so the plan is the same in every run. About
+    `sample_rows` of them are, whatever the total; those of the same id and time are counted
+    before they are sent to the driver.
     """
     n = rows.count() if total is None else total
     target = max(shard_rows, -(-n // max_shards))
     if n <= target:
         return ShardPlan(rows=n)
     share = min(1.0, sample_rows / n)
-    grid = 1_000_003
+    hashed = F.xxhash64("time", "id", *[c for c in ("seq",) if c in rows.columns]).bitwiseAND(F.lit((1 << 63) - 1).cast("long"))
     sample = (
-        rows.select("id", "time").where(F.col("id").isNotNull() & F.col("time").isNotNull())
-        .where(F.pmod(F.xxhash64("time", "id"), F.lit(grid)) < F.lit(max(1, round(share * grid))))
-        .toPandas()
+        rows.where(F.col("id").isNotNull() & F.col("time").isNotNull() & (hashed <= F.lit(sample_bound(share)).cast("long")))
+        .groupBy("id", "time").agg(F.count(F.lit(1)).alias("n")).toPandas()
     )
-    cuts = {}
-    ids, times = sample["id"].to_numpy(), sample["time"].to_numpy()
-    order = np.lexsort((times, ids))
-    ids, times = ids[order], times[order]
+    cuts, copies = cuts_of(sample["id"].to_numpy(), sample["time"].to_numpy(), sample["n"].to_numpy(), share, target)
+    return ShardPlan(cuts, n, copies)
+
+
+def sample_bound(share: float) -> int:
+    """The largest of the hashes 0 to 2^63 - 1 in a sample of that share."""
+    return min((1 << 63) - 1, max(0, round(share * (1 << 63)) - 1))
+
+
+def cuts_of(ids: np.ndarray, times: np.ndarray, n: np.ndarray, share: float, target: int) -> tuple[dict[int, list[int]], list[tuple[int, int]]]:
+    """Cuts and copies from a sample: distinct (id, time) with the number of their rows in it."""
+    cuts, order = {}, np.lexsort((times, ids))
+    ids, times, n = ids[order], times[order], n[order]
+    large = np.flatnonzero((n > 2) & (n / share > target))
+    copies = [(int(ids[k]), int(times[k])) for k in large]
+    n = n.copy()
+    n[large] = 1  # they are put together before the exchange
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
     for a, b in zip(starts, [*starts[1:], len(ids)]):
-        shards = round((b - a) / share / target)
+        upto = np.cumsum(n[a:b])
+        shards = round(int(upto[-1]) / share / target)
         if shards >= 2:
             own = times[a:b]
-            at = {int(own[len(own) * i // shards]) for i in range(1, shards)} - {int(own[0])}
+            at = {int(own[k]) for k in np.searchsorted(upto, upto[-1] * np.arange(1, shards) // shards, side="right")} - {int(own[0])}
             if at:
                 cuts[int(ids[a])] = sorted(at)
-    return ShardPlan(cuts, n)
+    return cuts, copies
+
+
+def task_count(rows: int) -> int:
+    """Tasks for so many rows after an exchange."""
+    return min(MAX_TASKS, -(-rows // TASK_ROWS))
+
+
+def tasks_for(rows: DataFrame) -> int | None:
+    """Tasks for an exchange of `rows` by the size of the tables that it reads, without a job; None if the session's number will do."""
+    try:
+        leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    except Exception:  # a client without the planner
+        return None
+    known = sum(x for x in sizes if x < 1 << 62)  # the planner's word for unknown is the largest long
+    n = min(MAX_TASKS, -(-known // TASK_BYTES))
+    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def exchanged(rows: DataFrame, plan: ShardPlan) -> DataFrame:
     """Rows by id and shard, or by id where no series is cut: the planner takes a constant out of a window's keys, and would not see that
     an exchange by both serves it. Tasks don't outgrow memory with the table: if the session's number of partitions is too small for it, there
     are more; else the adaptive planner may put small ones together."""
-    n, keys = -(-plan.rows // TASK_ROWS), ("id", "shard") if plan.hot else ("id",)
+    n, keys = task_count(plan.rows), ("id", "shard") if plan.hot else ("id",)
     if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         return rows.repartition(n, *keys)
     return rows.repartition(*keys)
@@ -150,6 +187,12 @@ def ordered_rows(rows: DataFrame, plan: ShardPlan, keep: tuple[str, ...] = (), s
     w = Window.partitionBy("id", "shard").orderBy("time", F.col("seq").asc_nulls_first(), F.col("flag").asc_nulls_first(),
                                                   F.col("value").asc_nulls_first())
     placed = rows.where(F.col("id").isNotNull() & F.col("time").isNotNull()).select("id", "time", "value", "flag", "seq", *keep)
+    if plan.copies:  # the last of them in each input split, so that they don't meet in one task
+        pairs = F.broadcast(rows.sparkSession.createDataFrame(plan.copies, "id long, time long"))
+        kept = ["value", "flag", "seq", *keep]
+        last = (placed.join(pairs, ["id", "time"], "left_semi").groupBy("id", "time")
+                .agg(F.max_by(F.struct(*kept), F.struct("seq", "flag", "value")).alias("_r")).select("id", "time", "_r.*"))
+        placed = placed.join(pairs, ["id", "time"], "left_anti").unionByName(last)
     return (
         exchanged(with_shard(placed, plan, shard_time), plan)
         .withColumn("_next", F.lead("time").over(w))

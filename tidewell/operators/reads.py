@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.hashing import jenkins
 from tidewell.functions.predicates import in_flag, in_interval
 from tidewell.functions.timeutil import epoch_day
-from tidewell.operators.layout import is_reading, ordered_rows, plan_shards, with_shard
+from tidewell.operators.layout import is_reading, ordered_rows, plan_shards, tasks_for, with_shard
 from tidewell.types import DAY, MAX_TIME, NO_DATA, clamp_time
 
 _ROW = ["id", "time", "value", "flag"]
@@ -27,7 +27,9 @@ def dedupe(rows: DataFrame, keep: str = "last") -> DataFrame:
     o = [c.desc_nulls_last() for c in o] if keep == "last" else [c.asc_nulls_first() for c in o]
     w = Window.partitionBy("id", "time").orderBy(*o)
     placed = rows.where(F.col("id").isNotNull() & F.col("time").isNotNull()).select(*_ROW, "seq")
-    return placed.repartition("id", "time").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*_ROW)
+    n = tasks_for(placed)
+    placed = placed.repartition(n, "id", "time") if n else placed.repartition("id", "time")
+    return placed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*_ROW)
 
 
 def current_readings(rows: DataFrame) -> DataFrame:

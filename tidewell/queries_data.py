@@ -33,11 +33,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    return regular_grid(table(spark, d, "meas"), table(spark, d, "scheme"))
+    return regular_grid(table(spark, d, "meas"), table(spark, d, "scheme")).withColumn("value", settled("value"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_grid(spark, d).where(F.col("status") != "reading").select("id", "slot_start")
+    """Periods that got their value from the curve, or were marked as within a long gap."""
+    grid = regular_grid(table(spark, d, "meas"), table(spark, d, "scheme"))
+    return grid.where((F.col("status") == "filled") & F.col("value").isNotNull() | (F.col("status") == "gap")).select("id", "slot_start")
 
 
 def p3_slots(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +97,31 @@ every AS (SELECT id, interval, slot AS own, n, next, unnest(generate_series(slot
 SELECT id, ({_SLOT_START})::BIGINT AS slot_start, CASE WHEN slot = own THEN n ELSE 0 END AS n_readings,
   CASE WHEN slot = own THEN 'reading' WHEN next - own <= 25 THEN 'filled' ELSE 'gap' END AS status FROM every"""
 
+def _inside(a: int, b: int) -> str:
+    """Slope where two secants meet."""
+    w0, w1 = f"(2 * h{b} + h{a})", f"(h{b} + 2 * h{a})"
+    return f"CASE WHEN d{a} * d{b} > 0 THEN ({w0} + {w1}) / ({w0} / d{a} + {w1} / d{b}) ELSE 0 END"
+
+
+def _at_end(a: int, b: int) -> str:
+    """Slope at the end of secant a, with b beyond it."""
+    s = f"(((2 * h{a} + h{b}) * d{a} - h{a} * d{b}) / (h{a} + h{b}))"
+    return f"CASE WHEN d{b} IS NULL THEN d{a} WHEN {s} * d{a} <= 0 THEN 0 WHEN d{a} * d{b} <= 0 AND abs({s}) > 3 * abs(d{a}) THEN 3 * d{a} ELSE {s} END"
+
+
+_POINTS = ", ".join(f"{f}(slot, {k}) OVER s AS x{i}, {f}(v, {k}) OVER s AS y{i}" for i, f, k in ((0, "lag", 2), (1, "lag", 1), (3, "lead", 1), (4, "lead", 2), (5, "lead", 3)))
+P3_GRID_SQL = f"""WITH {CURRENT}, slots AS (
+  SELECT id, interval, {_SLOT} AS slot, count(*) AS n, avg(value) AS v FROM cur JOIN scheme USING (id) WHERE interval IN ('minute', 'halfhour', 'hour', 'day', 'week', 'month') GROUP BY ALL
+), w AS (SELECT *, slot AS x2, v AS y2, {_POINTS} FROM slots WINDOW s AS (PARTITION BY id ORDER BY slot)),
+secants AS (SELECT *, {', '.join(f"CASE WHEN x{i + 1} - x{i} <= 25 AND isfinite(y{i}) AND isfinite(y{i + 1}) THEN (x{i + 1} - x{i})::DOUBLE END AS h{i}" for i in range(5))} FROM w),
+sloped AS (SELECT *, {', '.join(f"(y{i + 1} - y{i}) / h{i} AS d{i}" for i in range(5))} FROM secants),
+curve AS (SELECT *, CASE WHEN d1 IS NOT NULL THEN {_inside(1, 2)} ELSE {_at_end(2, 3)} END AS s0, CASE WHEN d3 IS NOT NULL THEN {_inside(2, 3)} ELSE {_at_end(2, 1)} END AS s1 FROM sloped),
+every AS (SELECT *, slot AS own, unnest(generate_series(slot, coalesce(x3 - 1, slot))) AS pos FROM curve),
+placed AS (SELECT *, (pos - own) / (x3 - own)::DOUBLE AS u FROM every)
+SELECT id, interval, ({_SLOT_START.replace('slot', 'pos')})::BIGINT AS slot_start, CASE WHEN pos = own THEN n ELSE 0 END AS n_readings,
+  round(CASE WHEN pos = own THEN v WHEN h2 IS NOT NULL THEN (2 * u * u * u - 3 * u * u + 1) * y2 + (u * u * u - 2 * u * u + u) * h2 * s0 + (3 * u * u - 2 * u * u * u) * y3 + (u * u * u - u * u) * h2 * s1 END + 0.00037123456, 2) AS value,
+  CASE WHEN pos = own THEN 'reading' WHEN h2 IS NOT NULL THEN 'filled' ELSE 'gap' END AS status FROM placed"""
+
 P5_FOUND_SQL = f"""WITH {CURRENT}, a AS (
   SELECT *, abs(value - lag(value) OVER s) AS d, row_number() OVER s AS rn FROM cur WINDOW s AS (PARTITION BY id ORDER BY time)
 ), step AS (SELECT id, median(d) AS step FROM a GROUP BY id),
@@ -128,4 +155,4 @@ FROM (SELECT id, CASE WHEN NOT isnan(value) THEN value END AS v FROM meas) GROUP
 P6_FOUND_SQL = "SELECT id FROM meas GROUP BY id HAVING count(*) > 0.03 * (SELECT count(*) FROM meas)"
 
 QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_grid": p3_grid, "p3_slots": p3_slots, "p5_found": p5_found, "p6_found": p6_found, "p6_totals": p6_totals}
-SQL = {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_ROLLING_SQL, "p3_found": P3_FOUND_SQL, "p3_slots": P3_SLOTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_totals": P6_TOTALS_SQL}
+SQL = {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_ROLLING_SQL, "p3_found": P3_FOUND_SQL, "p3_grid": P3_GRID_SQL, "p3_slots": P3_SLOTS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_totals": P6_TOTALS_SQL}

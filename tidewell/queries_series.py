@@ -29,11 +29,18 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, raw: tuple[str, ...] = ()):
+    """raw: columns with values as delivered. NaN isn't equal to itself, so both sides say by a column of its own where a value is NaN, and give null there."""
     def add(f):
-        QUERIES[name or f.__name__] = f
+        def shown(spark, d):
+            out = f(spark, d)
+            nan = {c.replace("value", "is_nan"): F.coalesce(F.isnan(c), F.lit(False)) for c in raw}
+            return out.withColumns(nan).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in raw})
+
+        QUERIES[name or f.__name__] = shown if raw else f
         if sql is not None:
-            SQL[name or f.__name__] = sql
+            SQL[name or f.__name__] = sql if not raw else f"""SELECT * REPLACE ({', '.join(f'CASE WHEN NOT isnan({c}) THEN {c} END AS {c}' for c in raw)}),
+  {', '.join(f"coalesce(isnan({c}), false) AS {c.replace('value', 'is_nan')}" for c in raw)} FROM ({sql})"""
         return f
 
     return add
@@ -49,27 +56,27 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
 
 # Scans
 
-@query(f"WITH {LATEST} SELECT * FROM latest WHERE id IN (SELECT id FROM scheme WHERE interval = 'hour') AND time BETWEEN {FROM} AND {TO}")
+@query(f"WITH {LATEST} SELECT * FROM latest WHERE id IN (SELECT id FROM scheme WHERE interval = 'hour') AND time BETWEEN {FROM} AND {TO}", raw=("value",))
 def interval_read(spark, d):
     return reads.read_interval(_meas(spark, d), _hourly(spark, d), FROM, TO)
 
 
-@query(f"WITH {LATEST} SELECT * FROM latest WHERE id IN (SELECT id FROM scheme WHERE interval = 'hour') AND time BETWEEN {FROM} AND {TO} AND flag & 1 = 1")
+@query(f"WITH {LATEST} SELECT * FROM latest WHERE id IN (SELECT id FROM scheme WHERE interval = 'hour') AND time BETWEEN {FROM} AND {TO} AND flag & 1 = 1", raw=("value",))
 def interval_read_flag(spark, d):
     return reads.read_interval(_meas(spark, d), _hourly(spark, d), FROM, TO, mask=1)
 
 
-@query(f"WITH {LATEST} SELECT * FROM latest WHERE id IN ({', '.join(map(str, SERIES))}) AND time BETWEEN {FROM} AND {TO}")
+@query(f"WITH {LATEST} SELECT * FROM latest WHERE id IN ({', '.join(map(str, SERIES))}) AND time BETWEEN {FROM} AND {TO}", raw=("value",))
 def interval_read_ids(spark, d):
     return reads.read_interval(_meas(spark, d), SERIES, FROM, TO)
 
 
-@query(f"WITH {LATEST} SELECT * FROM latest")
+@query(f"WITH {LATEST} SELECT * FROM latest", raw=("value",))
 def interval_read_dedupe_last(spark, d):
     return reads.dedupe(_meas(spark, d))
 
 
-@query("SELECT id, time, value, flag FROM meas QUALIFY row_number() OVER (PARTITION BY id, time ORDER BY seq) = 1")
+@query("SELECT id, time, value, flag FROM meas QUALIFY row_number() OVER (PARTITION BY id, time ORDER BY seq) = 1", raw=("value",))
 def interval_read_dedupe_first(spark, d):
     return reads.dedupe(_meas(spark, d), keep="first")
 
@@ -81,7 +88,7 @@ def dedupe_supply(spark, d):
     return reads.dedupe(supply_series(table(spark, d, "lineitem")))
 
 
-@query(f"WITH {LATEST} SELECT * FROM latest")
+@query(f"WITH {LATEST} SELECT * FROM latest", raw=("value",))
 def merge_layers(spark, d):
     """What arrived after and before a moment as two layers, the newer one first."""
     m = _meas(spark, d)
@@ -100,17 +107,17 @@ def _time_point_sql(at: int, mask: int) -> str:
 SELECT id, coalesce(r.t, {at}) AS time, CASE WHEN r IS NULL THEN 0 ELSE r.v END AS value, coalesce(r.f, {NO_DATA}) AS flag FROM scheme LEFT JOIN r USING (id)"""
 
 
-@query(_time_point_sql(AT, 0))
+@query(_time_point_sql(AT, 0), raw=("value",))
 def time_point(spark, d):
     return reads.read_time_point(_meas(spark, d), table(spark, d, "scheme"), AT)
 
 
-@query(_time_point_sql(AT, 2))
+@query(_time_point_sql(AT, 2), raw=("value",))
 def time_point_flag(spark, d):
     return reads.read_time_point(_meas(spark, d), table(spark, d, "scheme"), AT, mask=2)
 
 
-@query(_time_point_sql(EARLY, 0))
+@query(_time_point_sql(EARLY, 0), raw=("value",))
 def time_point_nodata(spark, d):
     return reads.read_time_point(_meas(spark, d), table(spark, d, "scheme"), EARLY)
 
@@ -124,12 +131,15 @@ def time_points_asof(spark, d):
     return reads.read_time_points(m, m.where(F.col("flag") == NO_DATA).select("id", F.col("time").alias("time_point")), readings_only=True)
 
 
-@query(f"WITH {LATEST}, r AS (SELECT id, arg_max({{'t': time, 'v': value, 'f': flag}}, time) AS r FROM latest GROUP BY id) SELECT id, r.t AS time, r.v AS value, r.f AS flag FROM r")
+_CURRENT_VALUE_SQL = f"WITH {LATEST}, r AS (SELECT id, arg_max({{'t': time, 'v': value, 'f': flag}}, time) AS r FROM latest GROUP BY id) SELECT id, r.t AS time, r.v AS value, r.f AS flag FROM r"
+
+
+@query(_CURRENT_VALUE_SQL, raw=("value",))
 def current_value(spark, d):
     return reads.current_value(_meas(spark, d))
 
 
-@query(f"WITH {LATEST}, r AS (SELECT id, arg_max({{'t': time, 'v': value, 'f': flag}}, time) AS r FROM latest GROUP BY id) SELECT id, r.t AS time, r.v AS value, r.f AS flag FROM r WHERE r.f & 1 = 1")
+@query(f"WITH {LATEST}, r AS (SELECT id, arg_max({{'t': time, 'v': value, 'f': flag}}, time) AS r FROM latest GROUP BY id) SELECT id, r.t AS time, r.v AS value, r.f AS flag FROM r WHERE r.f & 1 = 1", raw=("value",))
 def current_value_flag(spark, d):
     return reads.current_value(_meas(spark, d), mask=1)
 
@@ -145,7 +155,7 @@ def id_min_max(spark, d):
 
 
 @query(f"""WITH {LATEST}, r AS (SELECT id, arg_min({{'t': time, 'v': value, 'f': flag}}, time) AS f, arg_max({{'t': time, 'v': value, 'f': flag}}, time) AS l FROM latest GROUP BY id)
-SELECT id, f.t AS first_time, f.v AS first_value, f.f AS first_flag, l.t AS last_time, l.v AS last_value, l.f AS last_flag FROM r""")
+SELECT id, f.t AS first_time, f.v AS first_value, f.f AS first_flag, l.t AS last_time, l.v AS last_value, l.f AS last_flag FROM r""", raw=("first_value", "last_value"))
 def first_last(spark, d):
     return reads.first_last(_meas(spark, d))
 
@@ -394,12 +404,12 @@ def least_current_time(spark, d):
 _LIFE = "CASE interval " + " ".join(f"WHEN '{i}' THEN {Settings().lifetime_for(i)}" for i in ("raw", "minute", "halfhour", "hour", "day", "week", "month")) + " END"
 
 
-@query(f"SELECT m.id, time, value, flag FROM meas m LEFT JOIN scheme s USING (id) WHERE interval IS NULL OR interval = 'year' OR time > {AT} - {_LIFE}")
+@query(f"SELECT m.id, time, value, flag FROM meas m LEFT JOIN scheme s USING (id) WHERE interval IS NULL OR interval = 'year' OR time > {AT} - {_LIFE}", raw=("value",))
 def retention(spark, d):
     return rollups.retention(_meas(spark, d), table(spark, d, "scheme"), AT).select("id", "time", "value", "flag")
 
 
-@query(f"SELECT id, time, value, flag FROM meas WHERE NOT (id IN ({', '.join(map(str, SERIES))}) AND time <= {AT})")
+@query(f"SELECT id, time, value, flag FROM meas WHERE NOT (id IN ({', '.join(map(str, SERIES))}) AND time <= {AT})", raw=("value",))
 def erase_old(spark, d):
     return rollups.erase_old(_meas(spark, d), SERIES, AT).select("id", "time", "value", "flag")
 
@@ -409,22 +419,29 @@ def compact_filter(spark, d):
     return reads.dedupe(_meas(spark, d)).where((F.col("value") > 0) & ~F.isnan("value"))
 
 
-@query(f"WITH {LATEST} SELECT id, time, value, (flag | 512)::BIGINT AS flag FROM latest")
+@query(f"WITH {LATEST} SELECT id, time, value, (flag | 512)::BIGINT AS flag FROM latest", raw=("value",))
 def compact_mutate(spark, d):
     return reads.dedupe(_meas(spark, d)).withColumn("flag", predicates.add_flag(512))
 
 
-@query(f"WITH {LATEST} SELECT id, time, value, flag FROM latest")
+@query(f"WITH {LATEST} SELECT id, time, value, flag FROM latest", raw=("value",))
 def repack(spark, d):
     """The clustered layout a store writes."""
     return reads.dedupe(_meas(spark, d)).repartitionByRange("id", "time").sortWithinPartitions("id", "time")
 
 
-@query(f"WITH {LATEST} SELECT 4294967295 - id AS id, time, value, flag FROM latest")
+@query(f"WITH {LATEST} SELECT 4294967295 - id AS id, time, value, flag FROM latest", raw=("value",))
 def copy_series(spark, d):
     return reads.copy_series(reads.dedupe(_meas(spark, d)), F.lit(4294967295).cast("long") - F.col("id"))
 
 
+@query(f"""WITH {LATEST} SELECT name, time, value, flag FROM latest JOIN scheme USING (id) WHERE interval = 'hour' AND time BETWEEN {FROM} AND {TO}""", raw=("value",))
+def series_json_rows(spark, d):
+    """The rows that the JSON of `series_json_all` holds, read from it again."""
+    rows = F.from_json("json", "array<struct<F: bigint, T: bigint, V: double>>")
+    return series_json_all(spark, d).select("name", F.explode(rows).alias("r")).select("name", F.col("r.T").alias("time"), F.col("r.V").alias("value"), F.col("r.F").alias("flag"))
+
+
 @query()
 def series_json_all(spark, d):
     """Series of hourly values as JSON."""
@@ -434,7 +451,7 @@ def series_json_all(spark, d):
 
 # Subscriptions and streams
 
-@query("SELECT id, time, value, flag FROM meas WHERE flag = 1")
+@query("SELECT id, time, value, flag FROM meas WHERE flag = 1", raw=("value",))
 def subscribe_filter(spark, d):
     return subscriptions.subscribe(_meas(spark, d), (), 1).select("id", "time", "value", "flag")
 
@@ -448,7 +465,7 @@ def _run(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return subscriptions.run_to_table(stream, f"{at}/out", f"{at}/state", mode)
 
 
-@query("SELECT id, time, value, flag FROM meas WHERE flag = 1")
+@query("SELECT id, time, value, flag FROM meas WHERE flag = 1", raw=("value",))
 def stream_subscribe(spark, d):
     return _run(subscriptions.subscribe(_stream(spark, d), (), 1).select("id", "time", "value", "flag"), "subscribe", "append")
 
@@ -459,7 +476,7 @@ def stream_rollup(spark, d):
     return _run(subscriptions.windowed_rollup(_stream(spark, d), "day"), "rollup", "complete").withColumn("total", settled("total"))
 
 
-@query(SQL["current_value"])
+@query(_CURRENT_VALUE_SQL, raw=("value",))
 def stream_latest(spark, d):
     return _run(subscriptions.latest_values(_stream(spark, d)), "latest", "complete")
 
