@@ -61,6 +61,19 @@ def test_percentiles_of_large_groups_are_exact(spark, n):
         assert (v, t, f) == (w[0], w[1], w[2] | STATS)
 
 
+@pytest.mark.parametrize("large", [2, 40])
+def test_groups_that_are_not_gathered(spark, large):
+    """Both ways give the same, with ties in value and time, null groups and flags, infinite values and groups of one and two rows."""
+    rng = random.Random(large)
+    data = [(rng.choice([None, 1, 1, 1, 2]), rng.randrange(60), rng.choice([rng.gauss(0, 1), 3.0, -1.5, float("inf")]), rng.choice([None, 0, 1, 7])) for _ in range(3000)]
+    data += [(3, 5, 1.0, 2)] + [(4, 9, 1.0, 1), (4, 2, 5.0, None)] + [(5, 7, 2.0, f) for f in (3, None, 3, 1)] + [(6, t, 1.0, t) for t in range(50)]
+    df = spark.createDataFrame(data, "id long, time long, value double, flag long")
+    ps = {"median": 0.5, "percentile90": 0.9, "percentile99": 0.99}
+    aggs = lambda: [statistic.F.count(statistic.F.lit(1)).alias("n")]
+    got = sorted(map(str, statistic.percentile_rows(df, ["id"], ps, aggs(), large=large).collect()))
+    assert got == sorted(map(str, statistic.percentile_rows(df, ["id"], ps, aggs()).collect())) and len(got) == 7
+
+
 def test_register(spark):
     from pyspark.sql import functions as F
 

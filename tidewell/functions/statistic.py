@@ -1,9 +1,10 @@
 """Statistical functions of groups of rows, each with a value, a time and a flag.
 
 Averages, extremes, counts and deviations are one grouped aggregation with
-partial sums. Percentiles are exact without gathering a group: a mergeable
-sketch gives bounds around the wanted rank, one more pass counts what lies below
-them and keeps the few rows between.
+partial sums. Where percentiles are asked for, groups up to a bound are exchanged
+and sorted once, for all functions together. Percentiles of larger ones are exact
+without gathering a group: a mergeable sketch gives bounds around the wanted rank,
+one more pass counts what lies below them, and bins narrow down to the row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranks import at_rank, same
+from tidewell.plans.cut import written
 from tidewell.types import MIN_VALUE, STATS
 
 #: Percentile functions by name.
@@ -21,6 +24,8 @@ PERCENTILES = {"median": 0.5, "percentile90": 0.9, "percentile99": 0.99}
 ACCURACY = 2_000
 #: Groups up to which their bounds are broadcast to the rows.
 MAX_BROADCAST_GROUPS = 500_000
+#: Rows of a group that one task sorts.
+LARGE_GROUP = 5_000_000
 
 _AGGREGATES: dict[str, Callable[[], tuple[Column, Column]]] = {
     "average": lambda: (F.avg("value"), F.max("time")),
@@ -47,16 +52,22 @@ def available() -> list[str]:
     return list(FUNCTIONS)
 
 
-def percentile_rows(rows: DataFrame, by: list[str], ps: dict[str, float]) -> DataFrame:
-    """by, fn, value, time, flag for each group and each p: of n rows in order of (value, time, flag) the one at floor(p n),
-    counted from 0. Of two rows: the mean of both values, the later time, the flag of the earlier row.
-
-    rows: by, time, value, flag, without null or NaN values. What comes together of a group is the rows between its bounds, for each p
-    about five in ACCURACY of them, and a count for each gap.
-    """
-    from tidewell.plans.cut import written
-
-    named = sorted(ps.items(), key=lambda x: x[1])
+def _of_small(rows: DataFrame, by: list[str], ps: dict[str, float], aggs: list[Column]) -> DataFrame:
+    """by, aggs and for each percentile function a struct (value, time, flag) of that name, with rows exchanged and sorted once by group."""
+    group = Window.partitionBy(*by)
+    order = group.orderBy("value", "time", F.col("flag").asc_nulls_first())
+    n, two = F.col("_n"), F.col("_n") == 2
+    cells = [F.max(F.when((F.col("_at") == F.floor(F.lit(float(p)) * n)) & ~two, F.struct("value", "time", "flag"))).alias(f"_p_{fn}") for fn, p in ps.items()]
+    pair = F.struct((F.sum(F.when(two, F.col("value"))) / 2).alias("value"), F.max(F.when(two, F.col("time"))).alias("time"),
+                    F.min(F.when(two, F.struct("time", "value", "flag")))["flag"].alias("flag")).alias("_pair")
+    found = rows.withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(group)}).groupBy(*by).agg(*aggs, *cells, pair)
+    return found.withColumns({f"_p_{fn}": F.coalesce(f"_p_{fn}", "_pair") for fn in ps}).drop("_pair")
+
+
+def _of_large(rows: DataFrame, by: list[str], ps: dict[str, float], aggs: list[Column]) -> DataFrame:
+    """The same, where no group may come together. A mergeable sketch gives bounds around each rank; one pass counts what lies below them and the
+    values between; the value at the rank, then the time and the flag, are found by bins (`at_rank`)."""
+    named = list(ps.items())
     wanted = [x for _, p in named for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
     n = F.col("_n")
     # The sketch may give the extremes only roughly; near the ends the least and largest value are the bounds.
@@ -64,40 +75,49 @@ def percentile_rows(rows: DataFrame, by: list[str], ps: dict[str, float]) -> Dat
     for i, (_, p) in enumerate(named):
         bounds |= {f"_low{i}": F.when(n * p < 4.0, F.col("_min")).otherwise(F.get("_b", F.lit(2 * i))),
                    f"_high{i}": F.when(n * (1 - p) < 4.0, F.col("_max")).otherwise(F.get("_b", F.lit(2 * i + 1)))}
-    # Read three times: for their number and for two joins.
+    # Read for their number and for two joins.
     groups = written(
         rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx("value", F.array(*[F.lit(b) for b in wanted]), F.lit(ACCURACY)).alias("_b"), F.avg("value").alias("_mean"),
-            F.max("time").alias("_last"), F.min_by("flag", F.struct("time", "value")).alias("_first"), F.min("value").alias("_min"), F.max("value").alias("_max"))
-        .select(*by, "_n", "_mean", "_last", "_first", *[c.alias(k) for k, c in bounds.items()]), "bounds")
-    few = groups.count() <= MAX_BROADCAST_GROUPS
-    small = F.broadcast if few else (lambda df: df)  # beyond, large groups are split by the adaptive planner
-    joined = rows.join(small(groups.select(*by, *bounds)), by)
+            *aggs, F.count(F.lit(1)).alias("_n"), F.percentile_approx("value", F.array(*[F.lit(b) for b in wanted]), F.lit(ACCURACY)).alias("_b"),
+            F.min("value").alias("_min"), F.max("value").alias("_max"), F.min("time").alias("_from"), F.max("time").alias("_to"))
+        .withColumns(bounds).drop("_b"), "bounds")
+    small = F.broadcast if groups.count() <= MAX_BROADCAST_GROUPS else (lambda df: df)
     v = F.col("value")
-    kept, above = F.lit(False), F.lit(0)
-    for i in range(len(named)):
-        kept = kept | ((v >= F.col(f"_low{i}")) & (v <= F.col(f"_high{i}")))
-        above = above + (v > F.col(f"_high{i}")).cast("int")
-    # Of rows between bounds the rows themselves stay, of others the number in each gap.
+    sides = [F.when(v <= F.col(f"_high{i}"), F.struct(
+        F.lit(fn).alias("fn"), F.floor(F.lit(float(p)) * n).alias("_rank"), F.col(f"_low{i}").alias("_low"), F.col(f"_high{i}").alias("_high"),
+        F.when(v >= F.col(f"_low{i}"), v).alias("value"))) for i, (fn, p) in enumerate(named)]
+    keys = [*by, "fn"]
     counted = (
-        joined.select(*by, above.alias("_gap"), kept.alias("_kept"), "value", "time", "flag")
-        .groupBy(*by, "_gap", "_kept", *[F.when(F.col("_kept"), F.col(c)).alias(c) for c in ("value", "time", "flag")])
-        .agg(F.count(F.lit(1)).alias("_k"))
-    )
-    group = Window.partitionBy(*by)
-    order = group.orderBy("_gap", "_kept", "value", "time", F.col("flag").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"_upto": F.sum("_k").over(order), "_all": F.sum("_k").over(group)})
-    at = []
-    for fn, p in named:
-        pos = F.floor(F.lit(float(p)) * F.col("_all"))
-        at.append(F.when((F.col("_upto") > pos) & (F.col("_upto") - F.col("_k") <= pos), F.lit(fn)))
-    two = F.col("_n") == 2
-    return (
-        ranked.select(*by, F.explode(F.array_compact(F.array(*at))).alias("fn"), "value", "time", "flag")
-        .join(small(groups.select(*by, "_n", "_mean", "_last", "_first")), by)
-        .select(*by, "fn", F.when(two, F.col("_mean")).otherwise(F.col("value")).alias("value"),
-                F.when(two, F.col("_last")).otherwise(F.col("time")).alias("time"), F.when(two, F.col("_first")).otherwise(F.col("flag")).alias("flag"))
-    )
+        same(rows, small(groups.select(*by, "_n", *bounds)), by).select(*by, F.explode(F.array_compact(F.array(*sides))).alias("c")).select(*by, "c.*")
+        .groupBy(*keys, "_rank", "_low", "_high", "value").agg(F.count(F.lit(1)).alias("_k")))
+    values = written(at_rank(counted, keys, "value", "_k", "_rank", "_low", "_high"), "at-rank")
+    equal = (
+        same(rows, small(same(values.withColumnRenamed("value", "_value"), groups.select(*by, "_from", "_to"), by)), by).where(F.col("value") == F.col("_value"))
+        .groupBy(*keys, "value", F.col("_left").alias("_rank"), "_from", "_to", "time", "flag").agg(F.count(F.lit(1)).alias("_k")))
+    times = at_rank(equal, keys, "time", "_k", "_rank", "_from", "_to")
+    flags = same(equal.select(*keys, "value", "time", "flag", "_k"), times, [*keys, "time"])
+    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(F.col("flag").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    rows_at = flags.withColumn("_upto", upto).where((F.col("_upto") > F.col("_left")) & (F.col("_upto") - F.col("_k") <= F.col("_left")))
+    cells = rows_at.groupBy(*by).agg(*[F.first(F.when(F.col("fn") == fn, F.struct("value", "time", "flag")), ignorenulls=True).alias(f"_p_{fn}") for fn in ps])
+    return same(groups.drop("_n", "_min", "_max", "_from", "_to", *bounds), cells, by)
+
+
+def percentile_rows(rows: DataFrame, by: list[str], ps: dict[str, float], aggs: list[Column] | None = None, large: int = LARGE_GROUP) -> DataFrame:
+    """by, aggs and for each p a struct _p_<fn> (value, time, flag): of n rows in order of (value, time, flag) the one at floor(p n), counted from 0. Of
+    two rows: the mean of both values, the later time, the flag of the earlier row.
+
+    rows: by, time, value, flag, without null or NaN values; written once, as they are read for the sizes of groups and for the results.
+    Groups of at most `large` rows are each sorted in a task; of larger ones, of which there are at most rows / large, no task gets more
+    than a small part (see `_of_large`). Both ways give the same.
+    """
+    aggs = aggs or []
+    rows = written(rows, "rows")
+    big = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > large).select(*by, F.lit(True).alias("_big")), "large")
+    k = big.count()
+    if not k:
+        return _of_small(rows, by, ps, aggs)
+    marked = same(rows, F.broadcast(big) if k <= MAX_BROADCAST_GROUPS else big, by, "left")
+    return _of_small(marked.where(F.col("_big").isNull()).drop("_big"), by, ps, aggs).unionByName(_of_large(marked.where("_big").drop("_big"), by, ps, aggs))
 
 
 def calculate(rows: DataFrame, functions: Iterable[str], by: list[str] | None = None, compat_min_value: bool = False) -> DataFrame:
@@ -113,26 +133,27 @@ def calculate(rows: DataFrame, functions: Iterable[str], by: list[str] | None =
     ps = {k: PERCENTILES[k] for _, _, k in asked if k in PERCENTILES}
     unknown = [(i, f) for i, f, k in asked if k not in _AGGREGATES and k not in PERCENTILES]
     long0 = F.lit(0).cast("long")
-    out = None
-    if plain or unknown:
-        aggs, cells = [], []
-        for i, f, k in plain:
-            v, t = _AGGREGATES[k]()
-            if k == "maximum" and compat_min_value:
-                v = F.greatest(v, F.lit(MIN_VALUE))
-            aggs += [v.cast("double").alias(f"_v{i}"), t.alias(f"_t{i}")]
-            cells.append(F.struct(F.lit(i).alias("ord"), F.lit(f).alias("fn"), F.col(f"_t{i}").alias("time"), F.col(f"_v{i}").alias("value"), F.lit(STATS).cast("long").alias("flag")))
-        for i, f in unknown:
-            cells.append(F.struct(F.lit(i).alias("ord"), F.lit(f).alias("fn"), long0.alias("time"), F.lit(0.0).alias("value"), long0.alias("flag")))
-        grouped = rows.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_any")]))
-        out = grouped.select(*by, F.explode(F.array(*cells)).alias("c")).select(*by, "c.*")
-    if ps:
-        names = {k: [(i, f) for i, f, x in asked if x == k] for k in ps}
-        own = percentile_rows(rows.select(*by, "time", "value", "flag"), by, ps)
-        places = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("fn")) for i, f in v]))])
-        own = own.select(*by, F.explode(F.element_at(places, F.col("fn"))).alias("c"), "time", "value", F.coalesce("flag", long0).bitwiseOR(F.lit(STATS).cast("long")).alias("flag"))
-        own = own.select(*by, "c.ord", "c.fn", "time", "value", "flag")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
+    aggs, cells = [], []
+    for i, f, k in plain:
+        v, t = _AGGREGATES[k]()
+        if k == "maximum" and compat_min_value:
+            v = F.greatest(v, F.lit(MIN_VALUE))
+        aggs += [v.cast("double").alias(f"_v{i}"), t.alias(f"_t{i}")]
+        cells.append(_cell(i, f, F.col(f"_t{i}"), F.col(f"_v{i}"), F.lit(STATS).cast("long")))
+    for i, f in unknown:
+        cells.append(_cell(i, f, long0, F.lit(0.0), long0))
+    for i, f, k in asked:
+        if k in ps:
+            at = F.col(f"_p_{k}")
+            cells.append(_cell(i, f, at["time"], at["value"], F.coalesce(at["flag"], long0).bitwiseOR(F.lit(STATS).cast("long"))))
+    if not cells:
         raise ValueError("no function is asked for")
-    return out
+    if ps:
+        grouped = percentile_rows(rows.select(*by, "time", "value", "flag"), by, ps, aggs)
+    else:
+        grouped = rows.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_any")]))
+    return grouped.select(*by, F.explode(F.array(*cells)).alias("c")).select(*by, "c.*")
+
+
+def _cell(i: int, fn: str, time: Column, value: Column, flag: Column) -> Column:
+    return F.struct(F.lit(i).alias("ord"), F.lit(fn).alias("fn"), time.alias("time"), value.alias("value"), flag.alias("flag"))
