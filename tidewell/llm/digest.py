@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.layout import ShardPlan, join_by_id, ordered_readings, plan_shards
+from tidewell.operators.ranks import at_rank, same
 from tidewell.plans.cut import written
 
 DELTA = 1000
+#: Series up to which their estimates are broadcast.
+MAX_BROADCAST = 500_000
 #: Shard digests that are merged at once; more are merged in two steps.
 FAN_IN = 64
 
@@ -52,13 +55,18 @@ def digest(values: DataFrame, by: list[str], value: str = "value", delta: int =
     )
 
 
-def merge_digests(digests: DataFrame, by: list[str], delta: int = DELTA) -> DataFrame:
-    """One digest for each group of `by` from any number of digests of its parts."""
+def merge_digests(digests: DataFrame, by: list[str], delta: int = DELTA, several: str | None = None) -> DataFrame:
+    """One digest for each group of `by` from any number of digests of its parts. several: a boolean column, if only groups in which it is
+    true have several parts; the digests of the others stay as they are."""
     group = Window.partitionBy(*by)
-    upto = F.sum("weight").over(group.orderBy("mean", "low", "high").rowsBetween(Window.unboundedPreceding, 0))
+    order = group.orderBy("mean", "low", "high")
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    k = _cluster((upto - F.col("weight") / 2) / F.sum("weight").over(group), delta)
+    if several:
+        k = F.when(F.col(several), k).otherwise(F.row_number().over(order))
     return (
-        digests.select(*by, "mean", "weight", "low", "high")
-        .withColumn("_k", _cluster((upto - F.col("weight") / 2) / F.sum("weight").over(group), delta))
+        digests.select(*by, "mean", "weight", "low", "high", *([several] if several else []))
+        .withColumn("_k", k)
         .groupBy(*by, "_k")
         .agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"),
              F.min("low").alias("low"), F.max("high").alias("high"))
@@ -90,7 +98,7 @@ def estimate(digests: DataFrame, by: list[str], ps: list[float], margin: int = 2
     return cum.groupBy(*by).agg(F.first("_n").alias("n"), *out)
 
 
-def certify(values: DataFrame, estimates: DataFrame, ps: list[float], plan: ShardPlan) -> DataFrame:
+def certify(values: DataFrame, estimates: DataFrame, ps: list[float], plan: ShardPlan, known_few: bool = False) -> DataFrame:
     """The counting pass: id, p, n, position, estimate, rank_from, rank_to, rank_error, exact.
 
     values: id, value. estimates: of `estimate` by id. rank_from..rank_to are the ranks at which the estimate may stand
@@ -98,28 +106,29 @@ def certify(values: DataFrame, estimates: DataFrame, ps: list[float], plan: Shar
     position from them as a share of n. exact is the value at position, or null if it lies outside of the estimate's low and
     high, which the counts then show.
 
-    A pass adds up what lies below low and counts the values from low to high; what is above isn't kept. The values of one
-    group between low and high are a small share of it (about 5 pi / (2 delta)).
+    A pass, made at once, adds up what lies below low and counts the values from low to high; what is above isn't kept. The values of one
+    group between low and high are a small share of it (about 5 pi / (2 delta)); they are counted by bins, and only the bin of
+    the position is sorted in one task. known_few: estimates are known to have at most MAX_BROADCAST rows.
     """
-    rows = join_by_id(values.select("id", "value"), estimates, plan, max_rows=500_000)
+    values = values.select("id", "value")
+    rows = values.join(F.broadcast(estimates), "id") if known_few else join_by_id(values, estimates, plan, max_rows=MAX_BROADCAST)
     parts = []
     for i, p in enumerate(ps):
         q = F.col(f"q{i}")
         v = F.when(F.col("value") >= q["low"], F.col("value"))  # null: below
-        inside = F.when(F.col("value") <= q["high"], F.struct(F.lit(float(p)).alias("p"), F.col("n").alias("n"), q["position"].alias("position"), q["value"].alias("estimate"), v.alias("v")))
+        inside = F.when(F.col("value") <= q["high"], F.struct(F.lit(float(p)).alias("p"), F.col("n").alias("n"), q["position"].alias("position"), q["value"].alias("estimate"), q["low"].alias("low"), q["high"].alias("high"), v.alias("v")))
         parts.append(inside)
-    counted = (
+    # A small share of the rows; read three times.
+    counted = written(
         rows.select("id", F.explode(F.array_compact(F.array(*parts))).alias("c")).select("id", "c.*")
-        .groupBy("id", "p", "n", "position", "estimate", "v").agg(F.count(F.lit(1)).alias("rows"))
-    )
-    upto = F.sum("rows").over(Window.partitionBy("id", "p").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        .groupBy("id", "p", "n", "position", "estimate", "low", "high", "v").agg(F.count(F.lit(1)).alias("rows")), "counted")
     pos, est = F.col("position"), F.col("estimate")
+    exact = at_rank(counted, ["id", "p"], "v", "rows", "position", "low", "high").select("id", "p", F.col("v").alias("exact"))
+    ranked = counted.groupBy("id", "p", "n", "position", "estimate").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNull() | (F.col("v") < est), F.col("rows"))), F.lit(0)).alias("rank_from"),
+        F.coalesce(F.sum(F.when(F.col("v") == est, F.col("rows"))), F.lit(0)).alias("_same"))
     return (
-        counted.withColumn("upto", upto)
-        .groupBy("id", "p", "n", "position", "estimate")
-        .agg(F.coalesce(F.sum(F.when(F.col("v").isNull() | (F.col("v") < est), F.col("rows"))), F.lit(0)).alias("rank_from"),
-             F.coalesce(F.sum(F.when(F.col("v") == est, F.col("rows"))), F.lit(0)).alias("_same"),
-             F.min(F.when((F.col("upto") > pos) & (F.col("upto") - F.col("rows") <= pos), F.col("v"))).alias("exact"))
+        same(ranked, exact, ["id", "p"], "left")
         .withColumn("rank_to", F.col("rank_from") + F.greatest(F.col("_same") - 1, F.lit(0)))
         .withColumn("rank_error", F.greatest(F.col("rank_from") - pos, pos - F.col("rank_to"), F.lit(0)) / F.col("n"))
         .select("id", "p", "n", "position", "estimate", "rank_from", "rank_to", "rank_error", "exact")
@@ -134,15 +143,15 @@ def series_digests(rows: DataFrame, plan: ShardPlan, delta: int = DELTA) -> Data
     if max(map(len, plan.cuts.values())) >= FAN_IN:
         parts = merge_digests(parts.withColumn("_some", F.expr(f"shard div {FAN_IN}")), ["id", "_some"], delta)
     hot = rows.sparkSession.createDataFrame([(i, True) for i in plan.cuts], "id long, _hot boolean")
-    parts = parts.join(F.broadcast(hot), "id", "left")
-    cold = parts.where(F.col("_hot").isNull()).select("id", "mean", "weight", "low", "high")
-    return cold.unionByName(merge_digests(parts.where("_hot"), ["id"], delta))
+    return merge_digests(parts.join(F.broadcast(hot), "id", "left"), ["id"], delta, several="_hot")
 
 
 def series_quantiles(rows: DataFrame, ps: list[float], delta: int = DELTA, min_n: int = 1, **layout) -> DataFrame:
     """`certify` for the current readings of each series of `rows` (id, time, value, flag, seq, as delivered) with at least
     min_n of them."""
     plan = plan_shards(rows, **layout)
-    # One row for each series: written, as it is joined to the readings.
-    known = written(estimate(series_digests(rows, plan, delta), ["id"], ps).where(F.col("n") >= min_n), "estimates")
-    return certify(ordered_readings(rows, plan), known, ps, plan)
+    known = estimate(series_digests(rows, plan, delta), ["id"], ps).where(F.col("n") >= min_n)
+    if few := rows.select("id").distinct().count() <= MAX_BROADCAST:
+        # The ordered readings are exchanged once for both uses (the planner reuses the exchange).
+        return certify(ordered_readings(rows, plan), known, ps, plan, few)
+    return certify(ordered_readings(rows, plan), written(known, "estimates"), ps, plan)
