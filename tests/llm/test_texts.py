@@ -1,4 +1,5 @@
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,33 @@ def test_leaks(spark, monkeypatch, seed, join):
     assert sorted(got) == plain_leaks(docs, items) and len(got) > 50
 
 
+def test_index_of_many_items():
+    """50,000 items: everything is found that an exact look at all passages finds, by an index of bounded size."""
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(30_000)]
+    upto = list(accumulate(1 / (k + 2.7) for k in range(30_000)))  # as often as words of a language
+    items = [(k, " ".join(rng.choices(vocab, cum_weights=upto, k=rng.randrange(12, 30)))) for k in range(50_000)]
+    index = leakage.ItemIndex(items)
+    assert index.nbytes < 200 << 20
+    docs, true = [], []
+    for d in range(400):
+        w = rng.choices(vocab, cum_weights=upto, k=60)
+        k = rng.randrange(50_000)
+        own = items[k][1].split()
+        at, n = rng.randrange(len(own) - 10), rng.choice([9, 10, 11])
+        w[20:20] = own[at:at + n]
+        docs.append(w)
+        true.append((k, n))
+    grams = {}
+    for k, t in items:
+        w = t.split()
+        for j in range(len(w) - 9):
+            grams.setdefault(tuple(w[j:j + 10]), set()).add(k)
+    want = [sorted({next(iter(s)) for j in range(len(w) - 9) if len(s := grams.get(tuple(w[j:j + 10]), ())) == 1}) for w in docs]
+    got = index.search_many(docs)
+    assert got == want and sum(map(len, got)) > 200
+
+
 def test_leaks_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
