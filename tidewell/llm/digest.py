@@ -135,14 +135,14 @@ def certify(values: DataFrame, estimates: DataFrame, ps: list[float], plan: Shar
     )
 
 
-def series_digests(rows: DataFrame, plan: ShardPlan, delta: int = DELTA) -> DataFrame:
-    """Digest of the current readings of each series (id), made by shard and merged."""
-    parts = digest(ordered_readings(rows, plan), ["id", "shard"], delta=delta)
+def series_digests(ordered: DataFrame, plan: ShardPlan, delta: int = DELTA) -> DataFrame:
+    """Digest of each series (id) from its `ordered_readings`, made by shard and merged."""
+    parts = digest(ordered, ["id", "shard"], delta=delta)
     if not plan.hot:
         return parts.drop("shard")
     if max(map(len, plan.cuts.values())) >= FAN_IN:
         parts = merge_digests(parts.withColumn("_some", F.expr(f"shard div {FAN_IN}")), ["id", "_some"], delta)
-    hot = rows.sparkSession.createDataFrame([(i, True) for i in plan.cuts], "id long, _hot boolean")
+    hot = ordered.sparkSession.createDataFrame([(i, True) for i in plan.cuts], "id long, _hot boolean")
     return merge_digests(parts.join(F.broadcast(hot), "id", "left"), ["id"], delta, several="_hot")
 
 
@@ -150,8 +150,9 @@ def series_quantiles(rows: DataFrame, ps: list[float], delta: int = DELTA, min_n
     """`certify` for the current readings of each series of `rows` (id, time, value, flag, seq, as delivered) with at least
     min_n of them."""
     plan = plan_shards(rows, **layout)
-    known = estimate(series_digests(rows, plan, delta), ["id"], ps).where(F.col("n") >= min_n)
+    ordered = ordered_readings(rows, plan)
+    known = estimate(series_digests(ordered, plan, delta), ["id"], ps).where(F.col("n") >= min_n)
     if few := rows.select("id").distinct().count() <= MAX_BROADCAST:
-        # The ordered readings are exchanged once for both uses (the planner reuses the exchange).
-        return certify(ordered_readings(rows, plan), known, ps, plan, few)
-    return certify(ordered_readings(rows, plan), written(known, "estimates"), ps, plan)
+        # Both uses of the ordered readings share one exchange; the planner sees that they are the same.
+        return certify(ordered, known, ps, plan, few)
+    return certify(ordered, written(known, "estimates"), ps, plan)
