@@ -372,3 +372,54 @@ def test_clashing_columns(spark):
     assert rolling_totals(df).count() == 4
     assert regular_grid(df, spark.createDataFrame([(1, "day", "x")], "id long, interval string, value string")).count() == 4
     assert totals_by_key(df).first()["total"] == 3.0
+
+
+def test_long_series_by_blocks(monkeypatch):
+    """A series that is handled by blocks within its task gets what it gets as a whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.operators import anomalies
+
+    rng = np.random.default_rng(5)
+    n = 5000
+    v = np.round(np.cumsum(rng.normal(0, 1, n)), 2)
+    v[rng.integers(0, n, 40)] += 500
+    v[1000:1012] = v[1000]
+    ids = np.r_[np.full(7, 1), np.full(n, 2), np.full(9, 3)]
+    v = np.r_[np.arange(7.0), v, np.arange(9.0)]
+    t = np.r_[np.arange(7), np.arange(n), np.arange(9)] * 600_000
+    table = pa.table({"id": ids, "shard": np.zeros(len(ids), np.int32), "time": t, "value": v, "min_value": np.full(len(ids), -1e9), "max_value": np.full(len(ids), 1e9)})
+    run = lambda rows: pa.Table.from_batches(list(anomalies._score(iter(table.to_batches(max_chunksize=rows))))).to_pandas().sort_values(["id", "time"]).reset_index(drop=True)
+    whole = run(10_000)
+    monkeypatch.setattr(anomalies, "CHUNK_ROWS", 300)
+    monkeypatch.setattr(anomalies, "LONG_ROWS", 100)
+    parts = run(64)
+    assert len(whole) == len(ids) and whole.spike.sum() > 20 and whole.stuck.sum() >= 12
+    for c in ("id", "time", "value", "spike", "stuck", "impossible", "candidate"):
+        assert (whole[c] == parts[c]).all(), c
+    assert np.allclose(whole.score, parts.score, atol=1e-6)
+
+
+def test_time_of_cutting_is_linear():
+    """Blocks of one long shard are cut while it is read: no batch is looked at again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.operators import anomalies
+
+    n, seen = 200_000, []
+    v = np.arange(float(n))
+    batches = pa.table({"id": np.full(n, 5), "shard": np.full(n, 3, np.int32), "time": np.arange(n), "value": v}).to_batches(max_chunksize=1000)
+
+    def source():
+        for k, b in enumerate(batches):
+            seen.append(k)
+            yield b
+
+    first = next(blocks := anomalies._cut(source(), 2000))
+    assert len(seen) < len(batches) and first.num_rows > 0
+    rows = first.to_pylist() + [r for b in blocks for r in b.to_pylist()]
+    assert [r["block"] for r in rows] == list(range(100)) and [x for r in rows for x in r["values"]] == v.tolist()
+    assert rows[0]["pre"] is None and rows[-1]["post"] is None
+    assert rows[1]["pre"] == v[1993:2000].tolist() and rows[0]["post"] == v[2000:2007].tolist()
