@@ -1,4 +1,5 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,125 @@ def test_shards(spark, tmp_path):
     again.stop()
 
 
+def test_one_series_is_rewritten_alone(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.append_frame(spark.range(0, 300).select((F.col("id") % 3).alias("id"), F.col("id").alias("time"), F.lit(1.0).alias("value")))
+    first = list(s._layers)
+    s.erase_old(1, 150)
+    assert s._layers[:1] == first and s._read([s._layers[1]]).select("id").distinct().collect() == [(1,)]
+    assert rows(s.stat(1), "count", "min_time") == [(sum(t > 150 for t in range(1, 300, 3)), 151)] and rows(s.stat(0), "count") == [(100,)]
+    s.append(1, 10, 7.0)
+    s.repack(1)
+    assert rows(s.stat(1), "min_time", "max_value") == [(10, 7.0)] and len(s._layers) == 4
+    before = s.rows()
+    n = before.count()
+    s.repack()
+    assert len(s._layers) == 1 and s._hidden == {} and s.rows().count() == n and before.count() == n  # an older reader still finds its files
+    s.stop()
+    again = Store(spark, str(tmp_path / "s"))
+    assert again.rows().count() == n and len([x for x in again.folder.names() if x.startswith("layer-")]) == 1
+    again.stop()
+
+
+def test_single_rows_survive(spark, tmp_path):
+    """A store that wasn't stopped gets its single rows back, also after one series was flushed, and none twice."""
+    at = str(tmp_path / "s")
+    s = Store(spark, at)
+    s.append_rows([(1, 1, 1.0), (2, 1, 2.0, 5), (1, 2, float("nan"))])
+    s.flush(1)
+    assert s.description()["buffered"] == 1
+    s.append(3, 1, 3.0)
+    with open(s._log_path(), "a") as f:
+        f.write('[4, 1, ')  # cut off
+    again = Store(spark, at, force_unlock=True)
+    assert sorted(rows(again.rows(), "id", "time", "flag")) == [(1, 1, 0), (1, 2, 0), (2, 1, 5), (3, 1, 0)]
+    again.append(3, 1, 4.0)
+    again.flush()
+    third = Store(spark, at, force_unlock=True)
+    assert third.rows().count() == 5 and rows(third.read_interval([3], 0, 9), "value") == [(4.0,)] and third.description()["buffered"] == 0
+    third.stop()
+
+
+def test_reading_on_a_thread(store):
+    store.append_rows([(1, k, float(k)) for k in range(50)])
+    seen, ended = [], []
+    r = store.start_foreach([1], 0, 100, seen.append, is_end=lambda: ended.append(1))
+    assert r.wait(120) and r.rows == 50 and len(seen) == 50 and ended == [1]
+    r = store.start_foreach([1], 0, 100, lambda row: r.cancel())
+    assert r.wait(120) and r.rows <= 2
+    with pytest.raises(ZeroDivisionError):
+        store.start_foreach([1], 0, 100, lambda row: 1 / 0).wait(120)
+    got = []
+    assert store.foreach_time_point([1, 9], 7, got.append) == 2 and sorted((x["id"], x["time"]) for x in got) == [(1, 7), (9, 7)]
+
+
+def test_bulk_appends_reach_subscribers(spark):
+    s = memory_only_storage(spark)
+    seen = []
+    s.subscribe([2], 1, lambda *r: seen.append(r))
+    s.append_frame(spark.createDataFrame([(1, 1, 1.0, 1), (2, 1, 1.0, 1), (2, 2, 1.0, 3)], "id long, time long, value double, flag long"))
+    assert seen == [(2, 1, 1.0, 1)]
+
+
+def test_sharded_store_in_full(spark, tmp_path):
+    s = ShardedStore(spark, str(tmp_path))
+    ids = s.scheme.add_all(["0.raw", "1.minute"])
+    s.add("default")
+    s.add("mine", ids=[50])
+    seen = []
+    s.subscribe([50], 0, lambda *r: seen.append(r))
+    data = [(i, t, float(t)) for i in (*ids.values(), 50, 60) for t in range(10)]
+    st = s.append_frame(spark.createDataFrame([*data, (None, 1, 1.0)], "id long, time long, value double"))
+    assert (st.writed, st.ignored) == (40, 1) and len(seen) == 10
+    assert {x["alias"]: x["ids"] for x in s.list()} == {"default": [], "mine": [50], "raw": [ids["0.raw"]], "minute": [ids["1.minute"]]}
+    assert rows(s.stat(50), "count", "sum") == [(10, 45.0)] and (s.min_time(), s.max_time()) == (0, 9) and s.min_max_time(60) == (0, 9) and s.first_last().count() == 4
+    s.erase_old(50, 4)
+    s.compact(60, keep=F.col("time") % 2 == 0)
+    s.compact_with(ids["0.raw"], lambda parts: (p[p.time > 7] for p in parts))
+    s.append(50, 9, 1.0)
+    s.flush(50)
+    s.repack(50)
+    assert [s.stat(i).first()["count"] for i in (50, 60, ids["0.raw"], ids["1.minute"])] == [5, 5, 2, 10]
+    s.repack()
+    got = []
+    assert s.foreach([50, 60], 0, 100, got.append) == 10 and s.fsck() == []
+    api = JsonApi(s)
+    assert json.loads(api.handle({"type": "stat", "id": "1.minute", "from": 0, "to": 100})[1])["1.minute"]["count"] == 10
+    assert api.handle({"type": "erase", "id": "1.minute", "to": 5})[0] == 200 and s.stat(ids["1.minute"]).first()["count"] == 4
+    s.stop()
+
+
+def test_timer(spark):
+    from tidewell.plans.timer import RollupTimer, Timer
+
+    at, calls = [0], []
+    t = Timer(lambda: at[0])
+    t.add(5, lambda x: calls.append(("a", x)) or (x + 5 if x < 15 else None))
+    t.add(6, lambda x: 1 / 0)
+    assert t.run_due() == 0 and t.next_time() == 5
+    at[0] = 12
+    assert t.run_due() == 3 and calls == [("a", 5), ("a", 10)] and t.next_time() == 15
+    at[0] = 100
+    assert t.run_due() == 1 and t.next_time() is None
+    done = threading.Event()
+    real = Timer()
+    real.start()
+    real.add(real.now() + 30, lambda x: done.set())
+    assert done.wait(20)
+    real.stop()
+    # At the end of a minute its average is appended.
+    s = memory_only_storage(spark)
+    raw, minute = s.scheme.add("p.raw"), s.scheme.add("p.average.minute")
+    s.append_rows([(raw, 1_000, 2.0), (raw, 59_000, 4.0), (raw, 61_000, 8.0)])
+    clock = [10_000]
+    r = RollupTimer(s, Timer(lambda: clock[0]))
+    r.watch("minute")
+    assert r.timer.next_time() == 59_999
+    clock[0] = 60_000
+    assert r.timer.run_due() == 1 and r.timer.next_time() == 119_999
+    assert sorted(rows(s.read_interval([minute], 0, 200_000), "time", "value")) == [(59_000, 3.0), (61_000, 8.0)]
+
+
 # Settings
 
 def test_settings(tmp_path):

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.statistic import available, calculate
 from tidewell.functions.timeutil import bucket_start, bucket_start_of
-from tidewell.operators.layout import is_reading
+from tidewell.operators.layout import is_reading, join_by_id, plan_shards
 from tidewell.operators.reads import current_value, dedupe
 from tidewell.plans.cut import written
 from tidewell.plans.scheme import NAME_INTERVALS, linked, of_interval
 from tidewell.plans.settings import Settings
 from tidewell.types import INTERVALS, MAX_TIME
 
+#: Links that are broadcast.
+MAX_LINKS = 500_000
+
 
 def rollup(readings: DataFrame, interval: str, functions: Iterable[str], by: str = "id") -> DataFrame:
     """id, bucket (its first ms), ord, fn, time, value, flag: the functions over each series' calendar periods."""
@@ -34,12 +37,19 @@ def rollup_links(readings: DataFrame, links: DataFrame, since: Column | None = N
     rows = readings.select(F.col("id").alias("src_id"), "time", "value", "flag")
     if since is not None:
         rows = rows.where(F.col("time") >= since)
-    # The links are a part of the catalogue, at most a few rows for each series; the planner sees their size when they are made.
-    joined = rows.join(known, "src_id").select(
+    joined = _join_links(rows, known).select(
         F.col("dst_id").alias("id"), bucket_start_of("time", F.col("dst_interval")).alias("bucket"), F.lower("dst_func").alias("want"), "src_id", "time", "value", "flag")
     return _wanted(joined, known, functions)
 
 
+def _join_links(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """By src_id. Links are counted and broadcast up to MAX_LINKS; beyond, large series aren't moved by their id (`join_by_id`)."""
+    if links.count() <= MAX_LINKS:
+        return rows.join(F.broadcast(links), "src_id")
+    named = rows.withColumnRenamed("src_id", "id")
+    return join_by_id(named, links.withColumnRenamed("src_id", "id"), plan_shards(named), max_rows=MAX_LINKS).withColumnRenamed("id", "src_id")
+
+
 def _wanted(joined: DataFrame, links: DataFrame, names: list[str] | None = None) -> DataFrame:
     """joined: id, bucket, want, src_id, time, value, flag. Only functions that some link has (of those known) are calculated."""
     if names is None:
@@ -80,7 +90,7 @@ def backfill(rows: DataFrame, links: DataFrame) -> DataFrame:
     due = (links.join(last.select(F.col("id").alias("dst_id"), "until"), "dst_id", "left")
            .withColumn("since", F.coalesce(bucket_start_of("until", F.col("dst_interval")), F.lit(0).cast("long"))))
     due = due.where(F.lower("dst_func").isin(*available()))
-    fresh = own.select(F.col("id").alias("src_id"), "time", "value", "flag").join(due.select("src_id", "dst_id", "dst_interval", "dst_func", "since"), "src_id").where("time >= since")
+    fresh = _join_links(own.select(F.col("id").alias("src_id"), "time", "value", "flag"), due.select("src_id", "dst_id", "dst_interval", "dst_func", "since")).where("time >= since")
     known = fresh.select(F.col("dst_id").alias("id"), bucket_start_of("time", F.col("dst_interval")).alias("bucket"), F.lower("dst_func").alias("want"), "src_id", "time", "value", "flag")
     return _wanted(known, due)
 

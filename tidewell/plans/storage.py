@@ -1,9 +1,14 @@
 """A store of series: Parquet layers, a list of the live ones, a catalogue and settings.
 
-Appending adds a layer; nothing is changed in place. Repacking, compaction and
-erasure write a new layer from the live ones and then replace the list in one
-step, so a reader sees the old state or the new one, and a job that dies in
-between leaves only unlisted files, which the next opening removes.
+Appending adds a layer; nothing is changed in place. Compaction, erasure and the
+repacking of one series write that series alone, as a new layer, and hide it in the
+layers before; repacking all writes one layer from the live ones. Then the list
+is replaced in one step, so a reader sees the old state or the new one, and a job
+that dies in between leaves only unlisted files. Unlisted layers stay for
+readers that began before; stopping or opening the store removes them.
+
+Single rows are held in memory until there are enough for a layer; where the store
+lies in a local folder each is first added to a log, which the next opening reads.
 
 Layers are clustered by (id, time): a large series spans several files and the
 footers' bounds let a read skip all files of other series and times.
@@ -14,6 +19,7 @@ from __future__ import annotations
 import json
 import logging
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -22,9 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import reads
+from tidewell.plans.cut import written
 from tidewell.plans.folder import Folder
-from tidewell.plans.scheme import NAME_INTERVALS, SchemeCatalog
+from tidewell.plans.scheme import NAME_INTERVALS, SchemeCatalog, route
 from tidewell.plans.settings import Settings
+from tidewell.streaming.subscriptions import subscribe
 from tidewell.types import MAX_TIME, MEAS_SCHEMA
 
 log = logging.getLogger(__name__)
@@ -45,6 +53,33 @@ class Status:
         return Status(self.writed + other.writed, self.ignored + other.ignored, other.error if self.error == "OK" else self.error)
 
 
+class Reading:
+    """Rows that are handed to a callback on a thread of their own."""
+
+    def __init__(self, work: Callable[[Callable[[], bool]], int]) -> None:
+        self._stop, self.rows, self.error = threading.Event(), 0, None
+
+        def run() -> None:
+            try:
+                self.rows = work(self._stop.is_set)
+            except Exception as e:  # given to the one who waits
+                self.error = e
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+
+    def cancel(self) -> None:
+        """No row is handed over after the one in hand."""
+        self._stop.set()
+
+    def wait(self, seconds: float | None = None) -> bool:
+        """Whether it has ended; an error of the callback is raised here."""
+        self._thread.join(seconds)
+        if self.error:
+            raise self.error
+        return not self._thread.is_alive()
+
+
 class LockedError(RuntimeError):
     """The store is open elsewhere, or of another format."""
 
@@ -61,6 +96,8 @@ class Store:
         self._seq = 0
         self._memory: list[DataFrame] = []
         self._layers: list[str] = []
+        self._hidden: dict[str, list[int]] = {}  # series that are hidden in a layer
+        self._part, self._log = 0, None
         self._callbacks: list[tuple[tuple[int, ...], int, Callable]] = []
         self.folder = Folder(path, spark) if path else None
         self.settings = Settings.load(self.folder) if path else Settings(strategy="MEMORY")
@@ -77,18 +114,64 @@ class Store:
             if m["format"] != FORMAT:
                 self.folder.remove("lock")
                 raise LockedError(f"format {m['format']}, expected {FORMAT}")
-            self._layers, self._seq = m["layers"], m["seq"]
+            self._layers, self._seq, self._hidden, self._part = m["layers"], m["seq"], m.get("hidden", {}), m.get("log", 0)
         else:
             self._list(self._layers)
             self.settings.save(self.folder)
-        for d in self.folder.names():  # what an unfinished job left
-            if d.startswith("layer-") and d not in self._layers:
+        self._clean()
+        self._replay()
+
+    def _clean(self) -> None:
+        """Removes layers that aren't listed: replaced ones, and what an unfinished job left."""
+        for d in self.folder.names():
+            if d.startswith("layer-") and d not in self._layers or d.startswith("rows-") and d != self._log_name():
                 self.folder.remove(d)
 
-    def _list(self, layers: list[str]) -> None:
+    def _list(self, layers: list[str], hidden: dict[str, list[int]] | None = None) -> None:
         """Replaces the list of live layers in one step."""
-        self.folder.write(self.MANIFEST, json.dumps({"format": FORMAT, "layers": layers, "seq": self._seq}))
-        self._layers = list(layers)
+        hidden = {n: h for n, h in (self._hidden if hidden is None else hidden).items() if n in layers}
+        self.folder.write(self.MANIFEST, json.dumps({"format": FORMAT, "layers": layers, "seq": self._seq, "hidden": hidden, "log": self._part}))
+        self._layers, self._hidden = list(layers), hidden
+
+    # The log of single rows: one file, which the list names.
+
+    def _log_name(self) -> str:
+        return f"rows-{self._part}.wal"
+
+    def _log_path(self) -> str | None:
+        at = (self.path or "").removeprefix("file://")
+        return f"{at}/{self._log_name()}" if at and "://" not in at else None
+
+    def _replay(self) -> None:
+        """Takes back single rows that weren't flushed when the store was last used. A row that was cut off is left out."""
+        at = self._log_path()
+        if not at or not os.path.exists(at):
+            return
+        with open(at) as f:
+            for line in f:
+                try:
+                    i, t, v, flag, seq = json.loads(line)
+                except ValueError:
+                    break
+                self._buffer.append((i, t, float(v), flag, seq))
+                self._seq = max(self._seq, seq)
+
+    def _note(self, row: tuple) -> None:
+        if not (at := self._log_path()):
+            return
+        if self._log is None:
+            self._log = open(at, "a")  # noqa: SIM115
+        self._log.write(json.dumps(row) + "\n")
+        self._log.flush()
+
+    def _next_log(self) -> None:
+        """A log with the rows that are still held; the one before is valid until the list names this one."""
+        if self._log is not None:
+            self._log.close()
+            self._log = None
+        self._part += 1
+        for r in self._buffer:
+            self._note(r)
 
     # Writing
 
@@ -96,6 +179,7 @@ class Store:
         """One row, held in a buffer that every read includes."""
         self._seq += 1
         self._buffer.append((id, time, float(value), flag, self._seq))
+        self._note(self._buffer[-1])
         for ids, f, call in self._callbacks:
             if (not ids or id in ids) and (not f or f == flag):
                 call(id, time, float(value), flag)
@@ -119,6 +203,10 @@ class Store:
         good = own.where(F.col("id").isNotNull() & F.col("time").isNotNull() & F.col("value").isNotNull())
         before = own.count()
         n = self._add(good)
+        for ids, f, call in self._callbacks:
+            wanted = subscribe(good, ids, f)
+            for r in wanted.select("id", "time", "value", "flag").toLocalIterator():
+                call(*r)
         return Status(writed=n, ignored=before - n)
 
     def _add(self, rows: DataFrame) -> int:
@@ -135,10 +223,20 @@ class Store:
         rows.repartitionByRange("id", "time").sortWithinPartitions("id", "time").write.parquet(f"{self.path}/{name}")
         return name
 
-    def flush(self) -> None:
-        if self._buffer:
-            held, self._buffer = self._buffer, []
-            self._add(self.spark.createDataFrame(held, _LAYER_SCHEMA))
+    def flush(self, id: int | None = None) -> None:  # noqa: A002
+        """Writes the rows that are held, of one series or of all."""
+        held = [r for r in self._buffer if id is None or r[0] == id]
+        if held:
+            self._buffer = [r for r in self._buffer if id is not None and r[0] != id]
+            rows = self.spark.createDataFrame(held, _LAYER_SCHEMA)
+            if not self.path:
+                self._add(rows)
+                return
+            name, old = self._write(rows), self._log_path()
+            self._next_log()
+            self._list([*self._layers, name])
+            if old and os.path.exists(old):
+                os.remove(old)
 
     # Reading
 
@@ -149,7 +247,9 @@ class Store:
 
     def rows(self) -> DataFrame:
         """All rows as written, with seq: id, time, value, flag, seq."""
-        out = self._read(self._layers) if self.path else None
+        out = self._read([n for n in self._layers if n not in self._hidden]) if self.path else None
+        for n, ids in self._hidden.items():
+            out = out.unionByName(self._read([n]).where(~F.col("id").isin(ids)))
         for x in self._memory:
             out = x if out is None else out.unionByName(x)
         if self._buffer:
@@ -193,6 +293,21 @@ class Store:
             is_end()
         return n
 
+    def foreach_time_point(self, ids: Iterable[int], time_point: int, call: Callable, flag: int = 0, is_end: Callable | None = None) -> int:
+        """The same for what was valid at a moment: one row for each id."""
+        n = 0
+        for r in self.read_time_point(ids, time_point, flag).toLocalIterator():
+            n += 1
+            if call(r):
+                break
+        if is_end:
+            is_end()
+        return n
+
+    def start_foreach(self, ids: Iterable[int], start: int, end: int, call: Callable, flag: int = 0, is_end: Callable | None = None) -> Reading:
+        """`foreach` on a thread of its own; the result can be waited for and cancelled."""
+        return Reading(lambda stop: self.foreach(ids, start, end, lambda r: stop() or call(r), flag, is_end))
+
     def cursor(self, ids: Iterable[int], start: int, end: int, flag: int = 0) -> Iterator:
         return self.read_interval(ids, start, end, flag).toLocalIterator(prefetchPartitions=True)
 
@@ -211,16 +326,30 @@ class Store:
                 x.unpersist()
             self._memory = [kept]
             return
-        old = self._layers
         self._list([self._write(rows)])
-        for d in old:
-            self.folder.remove(d)
+
+    def _rewrite(self, id: int, change: Callable[[DataFrame], DataFrame]) -> None:  # noqa: A002
+        """change: from the series' rows, each (id, time) once, to those it has from now on. Only files that may hold the series are read
+        (by their footers), and only its rows are written; those in the layers so far are hidden until all is repacked."""
+        self.flush(id)
+        mine = F.col("id") == id
+        new = self._with_seq(change(reads.dedupe(self.rows().where(mine))))
+        if not self.path:
+            kept = new.persist()
+            kept.count()
+            self._memory = [*(x.where(~mine) for x in self._memory), kept]
+            return
+        name = self._write(new)
+        self._list([*self._layers, name], {n: sorted({*self._hidden.get(n, ()), id}) for n in self._layers})
 
     def _with_seq(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("seq", F.lit(self._seq).cast("long"))
 
-    def repack(self) -> None:
-        """One row for each (id, time), in one clustered layer."""
+    def repack(self, id: int | None = None) -> None:  # noqa: A002
+        """One row for each (id, time): of one series, or of all, in one clustered layer."""
+        if id is not None:
+            self._rewrite(id, lambda rows: rows)
+            return
         self.flush()
         self._replace(self._with_seq(reads.dedupe(self.rows())))
 
@@ -234,28 +363,26 @@ class Store:
                 erase_older_than: int | None = None, now: int | None = None) -> None:
         """Rewrites a series' rows from start to end: those for which `keep` doesn't hold are dropped, `change` gives new values of
         time, value or flag. Rows of the series at least erase_older_than ms before `now` are dropped first."""
-        self.flush()
-        own = (F.col("id") == id) & F.col("time").between(start, end)
-        rows = reads.dedupe(self.rows())
-        if erase_older_than is not None:
-            rows = rows.where(~((F.col("id") == id) & (F.lit(now) - F.col("time") >= erase_older_than)))
-        if keep is not None:
-            rows = rows.where(~own | F.coalesce(keep, F.lit(False)))
-        if change:
-            rows = rows.select(*[F.when(own, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in MEAS_SCHEMA.fieldNames()])
-        self._replace(self._with_seq(reads.dedupe(self._with_seq(rows))))
+        own = F.col("time").between(start, end)
+
+        def new(rows: DataFrame) -> DataFrame:
+            if erase_older_than is not None:
+                rows = rows.where(~(F.lit(now) - F.col("time") >= erase_older_than))
+            if keep is not None:
+                rows = rows.where(~own | F.coalesce(keep, F.lit(False)))
+            if change:
+                rows = rows.select(*[F.when(own, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in MEAS_SCHEMA.fieldNames()])
+            return reads.dedupe(self._with_seq(rows))
+
+        self._rewrite(id, new)
 
     def compact_with(self, id: int, rewrite: Callable) -> None:  # noqa: A002
         """`rewrite` is a function of batches, as of DataFrame.mapInPandas, over the series' rows; what it yields stays."""
-        self.flush()
-        rows = reads.dedupe(self.rows())
-        own = rows.where(F.col("id") == id).mapInPandas(rewrite, MEAS_SCHEMA)
-        self._replace(self._with_seq(reads.dedupe(self._with_seq(rows.where(F.col("id") != id).unionByName(own)))))
+        self._rewrite(id, lambda rows: reads.dedupe(self._with_seq(rows.mapInPandas(rewrite, MEAS_SCHEMA))))
 
     def erase_old(self, id: int, until: int) -> None:  # noqa: A002
         """Removes the series' rows at or before `until`."""
-        self.flush()
-        self._replace(self.rows().where(~((F.col("id") == id) & (F.col("time") <= F.lit(min(until, MAX_TIME)).cast("long")))))
+        self._rewrite(id, lambda rows: rows.where(F.col("time") > F.lit(min(until, MAX_TIME)).cast("long")))
 
     def fsck(self) -> list[str]:
         """Layers that can't be read are taken off the list; their names."""
@@ -278,6 +405,7 @@ class Store:
         if self.path:
             self.flush()
             self.scheme.save()
+            self._clean()
             self.folder.remove("lock")
         for x in self._memory:
             x.unpersist()
@@ -295,6 +423,9 @@ class ShardedStore:
         self.scheme = SchemeCatalog(spark, self.folder)
         self._shards: dict[str, dict] = {}
         self._open: dict[str, Store] = {}
+        self._callbacks: list[tuple] = []
+        self._routes: dict[int, str] | None = None  # of listed ids, and of those of the default shard that were asked for
+        self._names: dict[int, str] = {}
         if self.folder.exists(self.FILE):
             self._shards = {s["alias"]: s for s in json.loads(self.folder.read(self.FILE))}
 
@@ -303,37 +434,78 @@ class ShardedStore:
 
     def add(self, alias: str, path: str | None = None, ids: Iterable[int] = ()) -> None:
         """No ids: the default shard. A known alias gets further ids."""
+        known, new = alias in self._shards, set(ids)
         s = self._shards.setdefault(alias, {"alias": alias, "path": path or f"{self.path}/shards/{alias}", "ids": []})
-        s["ids"] = sorted({*s["ids"], *ids})
+        if known and new <= {*s["ids"]}:
+            return
+        s["ids"] = sorted({*s["ids"], *new})
+        self._routes = None
         self._save()
 
     def remove(self, alias: str) -> None:
         if x := self._open.pop(alias, None):
             x.stop()
         self._shards.pop(alias, None)
+        self._routes = None
         self._save()
 
     def list(self) -> list[dict]:
         return [dict(s) for s in self._shards.values()]
 
     def alias_of(self, id: int) -> str:  # noqa: A002
-        for s in self._shards.values():
-            if id in s["ids"]:
-                return s["alias"]
-        name = next((n for n, i in self.scheme.names().items() if i == id), None)
-        parts = [p for p in (name or "").split(".") if p]
-        alias = parts[-1] if len(parts) >= 2 and parts[-1] in NAME_INTERVALS else next((s["alias"] for s in self._shards.values() if not s["ids"]), "default")
-        self.add(alias, ids=[id] if alias in NAME_INTERVALS else [])
-        return alias
+        if self._routes is None:
+            self._routes = {}
+            for x in self._shards.values():
+                for i in x["ids"]:
+                    self._routes.setdefault(i, x["alias"])
+        if id not in self._routes:
+            alias = self._alias_by_name(id)
+            self.add(alias, ids=[id] if alias in NAME_INTERVALS else [])
+            if self._routes is not None:
+                self._routes[id] = alias
+            return alias
+        return self._routes[id]
+
+    def _alias_by_name(self, id: int) -> str:  # noqa: A002
+        names = self.scheme.names()
+        if len(self._names) != len(names):
+            self._names = {i: n for n, i in names.items()}
+        parts = [p for p in self._names.get(id, "").split(".") if p]
+        if len(parts) >= 2 and parts[-1] in NAME_INTERVALS:
+            return parts[-1]
+        return next((x["alias"] for x in self._shards.values() if not x["ids"]), "default")
 
     def store(self, alias: str) -> Store:
         if alias not in self._open:
             self._open[alias] = Store(self.spark, self._shards[alias]["path"])
+            for c in self._callbacks:
+                self._open[alias].subscribe(*c)
         return self._open[alias]
 
     def append(self, id: int, time: int, value: float, flag: int = 0) -> Status:  # noqa: A002
         return self.store(self.alias_of(id)).append(id, time, value, flag)
 
+    def append_rows(self, rows: Iterable[tuple]) -> Status:
+        out = Status()
+        for r in rows:
+            out = out + self.append(*r)
+        return out
+
+    def append_frame(self, rows: DataFrame) -> Status:
+        """A DataFrame (id, time, value[, flag]): each shard gets the rows of its series as one layer. The ids of `rows` are routed as a table."""
+        listed = self.spark.createDataFrame([(x["alias"], i) for x in self._shards.values() for i in x["ids"]], "alias string, id long")
+        default = next((x["alias"] for x in self._shards.values() if not x["ids"]), "default")
+        by_name = self.scheme.ls().withColumn("interval", F.when(F.col("interval").isin(*NAME_INTERVALS), F.col("interval")))
+        own = rows.withColumn("id", F.col("id").cast("long"))
+        routes = written(route(own.select("id").where(F.col("id").isNotNull()).distinct(), by_name, listed)
+                         .withColumn("alias", F.when(F.col("alias") == "default", F.lit(default)).otherwise(F.col("alias"))), "routes")
+        out = Status(ignored=own.where(F.col("id").isNull()).count())
+        for alias in sorted(r[0] for r in routes.select("alias").distinct().collect()):
+            mine = routes.where(F.col("alias") == alias).select("id")
+            self.add(alias, ids=[r[0] for r in mine.collect()] if alias in NAME_INTERVALS else [])
+            out = out + self.store(alias).append_frame(own.join(mine, "id", "left_semi"))
+        return out
+
     def rows(self, ids: Iterable[int] | None = None) -> DataFrame:
         """Only the shards that hold any of ids are read."""
         names = list(self._shards) if ids is None else list(dict.fromkeys(self.alias_of(i) for i in ids))
@@ -354,17 +526,49 @@ class ShardedStore:
         ids = list(ids or [])
         return reads.current_value(self.rows(ids or None), ids, flag)
 
+    def stat(self, id: int, start: int = 0, end: int = MAX_TIME) -> DataFrame:  # noqa: A002
+        return self.store(self.alias_of(id)).stat(id, start, end)
+
+    def min_time(self) -> int:
+        return reads.min_max_time(self.rows()).first()["min_time"]
+
+    def max_time(self) -> int:
+        return reads.min_max_time(self.rows()).first()["max_time"]
+
+    def min_max_time(self, id: int) -> tuple[int, int] | None:  # noqa: A002
+        return self.store(self.alias_of(id)).min_max_time(id)
+
+    def first_last(self) -> DataFrame:
+        return reads.first_last(self.rows())
+
+    cursor, foreach, foreach_time_point, start_foreach = Store.cursor, Store.foreach, Store.foreach_time_point, Store.start_foreach
+
     def subscribe(self, ids: Iterable[int], flag: int, call: Callable) -> None:
-        for n in self._shards:
-            self.store(n).subscribe(ids, flag, call)
+        """On the shards that there are, and those that are opened later."""
+        self._callbacks.append((ids, flag, call))
+        for x in self._open.values():
+            x.subscribe(ids, flag, call)
+
+    def flush(self, id: int | None = None) -> None:  # noqa: A002
+        for n in [self.alias_of(id)] if id is not None else list(self._open):
+            self.store(n).flush(id)
+
+    def compact(self, id: int, *args, **kw) -> None:  # noqa: A002
+        self.store(self.alias_of(id)).compact(id, *args, **kw)
+
+    def compact_with(self, id: int, rewrite: Callable) -> None:  # noqa: A002
+        self.store(self.alias_of(id)).compact_with(id, rewrite)
+
+    def erase_old(self, id: int, until: int) -> None:  # noqa: A002
+        self.store(self.alias_of(id)).erase_old(id, until)
 
     @property
     def settings(self) -> Settings:
         return Settings.load(self.folder)
 
-    def repack(self) -> None:
-        for n in self._shards:
-            self.store(n).repack()
+    def repack(self, id: int | None = None) -> None:  # noqa: A002
+        for n in [self.alias_of(id)] if id is not None else list(self._shards):
+            self.store(n).repack(id)
 
     def fsck(self) -> list[str]:
         return [f"{n}/{x}" for n in self._shards for x in self.store(n).fsck()]
