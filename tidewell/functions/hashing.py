@@ -63,3 +63,13 @@ def set_bit(word: Column, place: int) -> Column:
 
 def clear_bit(word: Column, place: int) -> Column:
     return word.bitwiseAND(F.bitwise_not(F.shiftleft(F.lit(1).cast("long"), place)))
+
+
+def leading_zeros(word: Column) -> Column:
+    """Of an unsigned 32-bit number: unset bits above its highest set one; 32 for 0."""
+    return F.when(word == 0, F.lit(32)).otherwise(F.lit(32) - F.length(F.bin(word))).cast("int")
+
+
+def trailing_zeros(word: Column) -> Column:
+    """Unset bits below its lowest set one; 32 for 0."""
+    return F.when(word == 0, F.lit(32)).otherwise(F.length(F.bin(word)) - F.length(F.rtrim(F.bin(word), F.lit("0")))).cast("int")

@@ -89,7 +89,7 @@ def backfill(rows: DataFrame, links: DataFrame) -> DataFrame:
     last = own.groupBy("id").agg(F.max("time").alias("until"))
     due = (links.join(last.select(F.col("id").alias("dst_id"), "until"), "dst_id", "left")
            .withColumn("since", F.coalesce(bucket_start_of("until", F.col("dst_interval")), F.lit(0).cast("long"))))
-    due = due.where(F.lower("dst_func").isin(*available()))
+    due = written(due.where(F.lower("dst_func").isin(*available())), "due")  # a row for each link; read three times
     fresh = _join_links(own.select(F.col("id").alias("src_id"), "time", "value", "flag"), due.select("src_id", "dst_id", "dst_interval", "dst_func", "since")).where("time >= since")
     known = fresh.select(F.col("dst_id").alias("id"), bucket_start_of("time", F.col("dst_interval")).alias("bucket"), F.lower("dst_func").alias("want"), "src_id", "time", "value", "flag")
     return _wanted(known, due)

@@ -496,7 +496,7 @@ class ShardedStore:
         listed = self.spark.createDataFrame([(x["alias"], i) for x in self._shards.values() for i in x["ids"]], "alias string, id long")
         default = next((x["alias"] for x in self._shards.values() if not x["ids"]), "default")
         by_name = self.scheme.ls().withColumn("interval", F.when(F.col("interval").isin(*NAME_INTERVALS), F.col("interval")))
-        own = rows.withColumn("id", F.col("id").cast("long"))
+        own = written(rows.withColumn("id", F.col("id").cast("long")), "rows")  # read by each shard
         routes = written(route(own.select("id").where(F.col("id").isNotNull()).distinct(), by_name, listed)
                          .withColumn("alias", F.when(F.col("alias") == "default", F.lit(default)).otherwise(F.col("alias"))), "routes")
         out = Status(ignored=own.where(F.col("id").isNull()).count())

@@ -15,6 +15,7 @@ from tidewell.plans import scheme as schemes
 from tidewell.plans.cut import shared_folder
 from tidewell.plans.json_api import series_json
 from tidewell.plans.settings import Settings
+from tidewell.plans.storage import ShardedStore, Store
 from tidewell.queries_data import CURRENT, settled
 from tidewell.sources.tables import events_series, negated_series, order_series, supply_series, table
 from tidewell.streaming import subscriptions
@@ -198,6 +199,29 @@ def flag_hash(spark, d):
     return _meas(spark, d).select("flag").distinct().select("flag", hashing.jenkins("flag").alias("hash"))
 
 
+@query(f"SELECT id, min(time) AS min_time, max(time) AS max_time FROM meas GROUP BY id HAVING min(time) <= {TO} AND max(time) >= {FROM}")
+def interval_overlap(spark, d):
+    """Series whose rows reach into a stretch of time."""
+    return reads.id_min_max(_meas(spark, d)).where(predicates.overlaps(F.col("min_time"), F.col("max_time"), F.lit(FROM), F.lit(TO)))
+
+
+@query(f"""WITH {CURRENT}, {_jenkins_sql('(SELECT flag FROM cur UNION ALL SELECT 3)')}, w AS (SELECT id, bit_or(h)::BIGINT AS flag_bloom FROM cur JOIN hashed USING (flag) GROUP BY id)
+SELECT id, flag_bloom, (flag_bloom & (SELECT h FROM hashed WHERE flag = 3)) = (SELECT h FROM hashed WHERE flag = 3) AS maybe FROM w""")
+def flag_bloom(spark, d):
+    """Whether a series may hold a reading with flag 3, from its bloom word alone."""
+    state = reads.merge_stats(reads.day_states(_meas(spark, d)), ["id"])
+    return state.select("id", "flag_bloom", hashing.bloom_check(F.col("flag_bloom"), F.lit(3).cast("long")).alias("maybe"))
+
+
+@query("""SELECT DISTINCT flag, (flag >> 3) & 1 AS got, flag | 8 AS with_bit, flag - (flag & 8) AS without_bit, (32 - length(ltrim(bin(flag), '0')))::INTEGER AS leading,
+  (CASE WHEN flag = 0 THEN 32 ELSE length(bin(flag)) - length(rtrim(bin(flag), '0')) END)::INTEGER AS trailing FROM meas""")
+def flag_bits(spark, d):
+    f = F.col("flag")
+    return _meas(spark, d).select("flag").distinct().select(
+        "flag", hashing.get_bit(f, 3).alias("got"), hashing.set_bit(f, 3).alias("with_bit"), hashing.clear_bit(f, 3).alias("without_bit"),
+        hashing.leading_zeros(f).alias("leading"), hashing.trailing_zeros(f).alias("trailing"))
+
+
 # Statistics
 
 def _stats_sql(source: str, by: str, functions: list[str]) -> str:
@@ -342,6 +366,11 @@ def scheme_interval(spark, d):
     return schemes.of_interval(table(spark, d, "scheme"), "hour")
 
 
+@query("SELECT id, interval, CASE interval " + " ".join(f"WHEN '{i}' THEN {n}" for i, n in INTERVALS.items()) + " ELSE 0 END::BIGINT AS length FROM scheme")
+def interval_lengths(spark, d):
+    return table(spark, d, "scheme").select("id", "interval", timeutil.interval_length(F.col("interval")).alias("length"))
+
+
 _CHAIN = (("raw", 0), ("average.hour", 1), ("average.maximum.day", 2), ("average.maximum.median.month", 3))
 _CHAIN_SQL = "names AS (SELECT user_id * 10 + k AS id, 'u' || user_id || '.' || n AS name FROM (SELECT DISTINCT user_id FROM events) e, (VALUES " + ", ".join(f"('{n}', {k})" for n, k in _CHAIN) + ") v(n, k))"
 
@@ -395,6 +424,21 @@ def rollup_links(spark, d):
     return rollups.rollup_links(reads.dedupe(rows), schemes.linked(_chain_scheme(spark, d)).where("src_interval = 'raw'")).withColumn("value", settled("value"))
 
 
+@query(f"""WITH raw AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS time, value FROM events), {_HOURLY}, mid AS (SELECT (min(time) + max(time)) // 2 AS middle FROM raw),
+done AS (SELECT id - 1 AS id, max(time) AS until FROM h WHERE time < (SELECT middle FROM mid) GROUP BY id),
+due AS (SELECT r.id * 10 AS id, r.time, r.value FROM raw r LEFT JOIN done d ON d.id = r.id * 10 WHERE r.time >= coalesce(d.until - d.until % 3600000, 0))
+SELECT id + 1 AS id, max(time) AS time, round(avg(value) + 0.00037123456, 2) AS value, 0::BIGINT AS flag FROM due GROUP BY id, time // 3600000""")
+def backfill(spark, d):
+    """Hourly averages are there up to the middle of the time; the rest is caught up with, from the last hour that is there on."""
+    raw = events_series(table(spark, d, "events")).withColumn("id", F.col("id") * 10)
+    links = schemes.linked(_chain_scheme(spark, d)).where("src_interval = 'raw'")
+    mid = F.call_function("div", F.min("time") + F.max("time"), F.lit(2).cast("long"))
+    at = raw.agg(mid.alias("at")).first()["at"]
+    done = rollups.rollup_links(reads.dedupe(raw), links).where(F.col("time") < at).withColumn("seq", F.lit(0).cast("long"))
+    rows = reads.dedupe(raw).withColumn("seq", F.lit(0).cast("long"))
+    return rollups.backfill(rows.unionByName(done), links).withColumn("value", settled("value"))
+
+
 @query(f"""WITH {LATEST}, r AS (SELECT id, max(time) AS time FROM latest GROUP BY id)
 SELECT coalesce(min(time), {MAX_TIME}) AS time FROM r WHERE id IN (SELECT id FROM scheme WHERE interval = 'hour')""")
 def least_current_time(spark, d):
@@ -435,6 +479,57 @@ def copy_series(spark, d):
     return reads.copy_series(reads.dedupe(_meas(spark, d)), F.lit(4294967295).cast("long") - F.col("id"))
 
 
+# The store
+
+def _sharded(spark: SparkSession, d: str) -> ShardedStore:
+    """A sharded store of its own with the rows of meas: the listed shards, the others made by the routing."""
+    s = ShardedStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    s.add("rest")
+    for r in table(spark, d, "shards").where("id IS NOT NULL").groupBy("alias").agg(F.collect_set("id").alias("ids")).collect():
+        s.add(r["alias"], ids=r["ids"])
+    s.append_frame(reads.dedupe(_meas(spark, d)))
+    return s
+
+
+_STORED = f"{LATEST}, stored AS (SELECT * FROM latest WHERE value IS NOT NULL)"
+
+
+@query(f"WITH {_STORED} SELECT * FROM stored WHERE NOT (id = 42 AND time <= {AT})", raw=("value",))
+def store_erase(spark, d):
+    s = _sharded(spark, d)
+    s.erase_old(42, AT)
+    return s.rows().select("id", "time", "value", "flag")
+
+
+@query(f"WITH {_STORED} SELECT id, time, value, CASE WHEN id = 42 AND time BETWEEN {FROM} AND {TO} THEN flag | 512 ELSE flag END::BIGINT AS flag FROM stored WHERE id <> 42 OR time NOT BETWEEN {FROM} AND {TO} OR value > 0 AND NOT isnan(value)", raw=("value",))
+def store_compact(spark, d):
+    s = _sharded(spark, d)
+    s.compact(42, FROM, TO, keep=(F.col("value") > 0) & ~F.isnan("value"), change={"flag": predicates.add_flag(512)})
+    return s.rows().select("id", "time", "value", "flag")
+
+
+@query(SQL["range_stat"].replace(" GROUP BY id", f" AND id IN ({', '.join(map(str, SERIES))}) GROUP BY id"))
+def store_stat(spark, d):
+    s = _sharded(spark, d)
+    out = s.stat(SERIES[0], FROM, TO)
+    for i in SERIES[1:]:
+        out = out.unionByName(s.stat(i, FROM, TO))
+    return out.withColumn("sum", settled("sum"))
+
+
+@query(f"""WITH part AS (SELECT id, time, value, flag, epoch_ms(arrived) >= {AT} AS late FROM meas QUALIFY row_number() OVER (PARTITION BY id, time, epoch_ms(arrived) >= {AT} ORDER BY seq DESC) = 1)
+SELECT id, time, value, flag FROM part WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, time ORDER BY late DESC) = 1""", raw=("value",))
+def store_repack(spark, d):
+    """Two layers, one series repacked alone, then all."""
+    s, m = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"), _meas(spark, d)
+    late = F.col("arrived") >= F.timestamp_millis(F.lit(AT))
+    s.append_frame(reads.dedupe(m.where(~late)))
+    s.append_frame(reads.dedupe(m.where(late)))
+    s.repack(42)
+    s.repack()
+    return s.rows().select("id", "time", "value", "flag")
+
+
 @query(f"""WITH {LATEST} SELECT name, time, value, flag FROM latest JOIN scheme USING (id) WHERE interval = 'hour' AND time BETWEEN {FROM} AND {TO}""", raw=("value",))
 def series_json_rows(spark, d):
     """The rows that the JSON of `series_json_all` holds, read from it again."""
