@@ -112,8 +112,10 @@ def percentile_rows(rows: DataFrame, by: list[str], ps: dict[str, float], aggs:
     """
     aggs = aggs or []
     rows = written(rows, "rows")
-    big = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > large).select(*by, F.lit(True).alias("_big")), "large")
-    k = big.count()
+    k = 0
+    if rows.count() > large:  # by the files' footers; else no group can be
+        big = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > large).select(*by, F.lit(True).alias("_big")), "large")
+        k = big.count()
     if not k:
         return _of_small(rows, by, ps, aggs)
     marked = same(rows, F.broadcast(big) if k <= MAX_BROADCAST_GROUPS else big, by, "left")

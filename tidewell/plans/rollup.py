@@ -50,6 +50,11 @@ def _join_links(rows: DataFrame, links: DataFrame) -> DataFrame:
     return join_by_id(named, links.withColumnRenamed("src_id", "id"), plan_shards(named), max_rows=MAX_LINKS).withColumnRenamed("id", "src_id")
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these ids, which are counted and broadcast up to MAX_LINKS; beyond, nothing is left out, as the rows would have to be moved by id."""
+    return rows.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= MAX_LINKS else rows
+
+
 def _wanted(joined: DataFrame, links: DataFrame, names: list[str] | None = None) -> DataFrame:
     """joined: id, bucket, want, src_id, time, value, flag. Only functions that some link has (of those known) are calculated."""
     if names is None:
@@ -66,7 +71,9 @@ def cascade(rows: DataFrame, scheme: DataFrame, settings: Settings | None = None
     written before the next reads it.
     """
     links = written(linked(scheme), "links")
-    stored = dedupe(rows).where(is_reading())
+    # Each level reads the stored rows: those of series that take part, deduplicated once.
+    ends = links.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
+    stored = written(dedupe(_of_ids(rows, ends)).where(is_reading()), "stored")
     made = None
     steps: dict[str, list[str]] = {}  # at most seven intervals and as many functions as are known
     for r in links.select("src_interval", F.lower("dst_func").alias("fn")).distinct().collect():
