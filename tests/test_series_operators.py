@@ -423,3 +423,35 @@ def test_time_of_cutting_is_linear():
     assert [r["block"] for r in rows] == list(range(100)) and [x for r in rows for x in r["values"]] == v.tolist()
     assert rows[0]["pre"] is None and rows[-1]["post"] is None
     assert rows[1]["pre"] == v[1993:2000].tolist() and rows[0]["post"] == v[2000:2007].tolist()
+
+
+@pytest.mark.parametrize("total", [10**12, 10**13])
+def test_plan_of_huge_tables(total):
+    """The sample, the cuts and the tasks keep their bounds at any size."""
+    import numpy as np
+
+    from tidewell.operators import layout
+
+    share = layout.SAMPLE_ROWS / total
+    assert abs((layout.sample_bound(share) + 1) / 2**63 * total / layout.SAMPLE_ROWS - 1) < 1e-3
+    assert layout.task_count(total) == layout.MAX_TASKS and layout.sample_bound(1.0) == 2**63 - 1
+    rng = np.random.default_rng(1)
+    k = layout.SAMPLE_ROWS
+    ids = np.where(rng.random(k) < 1 / 3, 42, rng.integers(100, 10**6, k))
+    times = rng.integers(0, 10**12, k)
+    target = -(-total // layout.MAX_SHARDS)
+    cuts, copies = layout.cuts_of(ids, times, np.ones(k, np.int64), share, target)
+    assert not copies and abs(len(cuts[42]) / (layout.MAX_SHARDS / 3) - 1) < 0.02 and sum(map(len, cuts.values())) <= layout.MAX_SHARDS
+    n = np.ones(k, np.int64)
+    n[5] = k // 3  # one id and time
+    cuts, copies = layout.cuts_of(ids, times, n, share, target)
+    assert copies == [(int(ids[5]), int(times[5]))] and sum(map(len, cuts.values())) <= layout.MAX_SHARDS
+
+
+def test_many_rows_of_one_id_and_time(meas):
+    data = [(7, 5, float(k % 50), 0) for k in range(3000)] + [(7, t, 1.0, 0) for t in range(6, 400)] + [(k, 1, 2.0, 0) for k in range(100, 400)]
+    m = meas(data)
+    plan = plan_shards(m, shard_rows=100)
+    assert plan.copies == [(7, 5)]
+    got = {(r["id"], r["time"]): r["value"] for r in ordered_readings(m, plan).collect()}
+    assert got == {(i, t): v for i, t, v, _ in data} and len(got) == 1 + 394 + 300

@@ -5,6 +5,7 @@ import pytest
 from tidewell.functions import statistic
 from tidewell.types import MIN_VALUE, STATS
 
+# The published test vector of the percentile functions.
 P90 = [43, 54, 56, 61, 62, 66, 68, 69, 69, 70, 71, 72, 77, 78, 79, 85, 87, 88, 89, 93, 95, 96, 98, 99, 99]
 
 

@@ -103,9 +103,10 @@ def _split(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Record
         if not len(one.keys):
             continue
         block = (one.keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
-        for x in np.unique(block):
-            at = block == x
-            yield from one.table(int(x), is_null, part, at).to_batches()
+        order = np.argsort(block, kind="stable")
+        first = np.flatnonzero(np.diff(block[order], prepend=-1))
+        for a, z in zip(first, [*first[1:], len(order)]):
+            yield from one.table(int(block[order[a]]), is_null, part, order[a:z]).to_batches()
 
 
 def _added(table: pa.Table) -> _Accumulators:

@@ -24,14 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it back; it is removed when the program ends."""
+    """Writes `df` as a table in the shared folder and reads it back; it is removed when the program ends, or by `clear`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _tables:
+        atexit.register(clear)
+    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def clear() -> None:
+    """Removes all tables written so far. DataFrames that read them can't be used any more; long sessions call this when results are stored."""
+    while _tables:
+        _remove(*_tables.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
