@@ -56,14 +56,13 @@ def regular_grid(rows: DataFrame, scheme: DataFrame, max_gap: int = 24, max_look
     def joined(a: Column, b: Column) -> Column:
         return (b["slot"] - a["slot"] <= max_gap + 1) & (F.abs(a["value"]) < float("inf")) & (F.abs(b["value"]) < float("inf"))
 
-    def secant(a: Column, b: Column) -> tuple[Column, Column]:
-        h = (b["slot"] - a["slot"]).cast("double")
-        ok = joined(a, b)
-        return F.when(ok, h), F.when(ok, (b["value"] - a["value"]) / h)
-
     here = F.struct("slot", "value")
     p = [F.col("l2"), F.col("l1"), here, F.col("r1"), F.col("r2"), F.col("r3")]
-    hs, ds = zip(*[secant(a, b) for a, b in zip(p, p[1:])])
+    pairs = list(zip(p, p[1:]))
+    # Columns of their own: each is used several times, and written out everywhere the code would be too long to be compiled.
+    near = near.withColumns({f"_h{i}": F.when(joined(a, b), (b["slot"] - a["slot"]).cast("double")) for i, (a, b) in enumerate(pairs)})
+    near = near.withColumns({f"_d{i}": (b["value"] - a["value"]) / F.col(f"_h{i}") for i, (a, b) in enumerate(pairs)})
+    hs, ds = ([F.col(f"_{c}{i}") for i in range(len(pairs))] for c in "hd")
 
     def slope(i: int) -> Column:
         """At p[i], of the secants to its left (i - 1) and right (i)."""
@@ -73,7 +72,7 @@ def regular_grid(rows: DataFrame, scheme: DataFrame, max_gap: int = 24, max_look
         return (F.when(both, _slope_inside(hs[i - 1], ds[i - 1], hs[i], ds[i]))
                 .when(ds[i].isNotNull(), right).otherwise(left))
 
-    curve = near.withColumns({"_next": F.col("r1.slot"), "_y1": F.col("r1.value"), "_fill": joined(here, F.col("r1")),
+    curve = near.withColumns({"_next": F.col("r1.slot"), "_y1": F.col("r1.value"), "_fill": F.col("_h2").isNotNull(),
                               "_s0": slope(2), "_s1": slope(3)})
     # The row itself and, after it, the periods up to the next one with a reading; long gaps in two steps.
     one = F.lit(1).cast("long")
