@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.digest import series_quantiles
 from tidewell.llm.leakage import find_leaks
-from tidewell.llm.packing import pack_documents
+from tidewell.llm.packing import CAPACITY, pack_documents
 from tidewell.llm.residue import find_residue
 from tidewell.llm.runs import collapse_runs
 from tidewell.queries_data import CURRENT
@@ -45,6 +45,20 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.length("whole").cast("long").alias("n_chars"), F.md5(F.encode("whole", "UTF-8")).alias("digest"))
 
 
+def p7_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """What any filling must fulfil: texts and characters in it, containers beyond their capacity, texts split though they would fit, and whether it has
+    at most 2 % more containers than all tokens need, and one for each of the table's files."""
+    docs = table(spark, d, "documents")
+    packed = pack_documents(docs)
+    whole = packed.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.sum("n_tokens").alias("tokens"), F.max("n_pieces").alias("n_pieces"))
+    texts = whole.agg(F.count(F.lit(1)).alias("n_texts"), F.sum("chars").alias("n_chars"), F.count_if((F.col("n_pieces") > 1) & (F.col("tokens") <= CAPACITY)).alias("split_in_vain"))
+    bins = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("n_tokens").alias("tokens")).agg(
+        F.count_if(F.col("tokens") > CAPACITY).alias("over_full"),
+        (F.count(F.lit(1)) <= F.ceil(F.sum("tokens") / CAPACITY * 1.02) + F.lit(docs.rdd.getNumPartitions())).alias("filled"))
+    one = F.lit(1)
+    return texts.withColumn("_k", one).join(bins.withColumn("_k", one), "_k").drop("_k")  # one row each
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -70,6 +84,8 @@ P4_FOUND_SQL = f"SELECT id, time_from, time_to FROM ({P4_RUNS_SQL}) WHERE n >= 3
 
 P7_ROUNDTRIP_SQL = "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents"
 
+P7_REQUIREMENTS_SQL = "SELECT count(*) AS n_texts, sum(length(text))::BIGINT AS n_chars, 0::BIGINT AS split_in_vain, 0::BIGINT AS over_full, true AS filled FROM documents"
+
 P8_FOUND_SQL = r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 9)) AS k FROM iw)),
 one AS (SELECT g, min(item_id) AS item_id FROM ig GROUP BY g HAVING count(*) = 1),
@@ -78,7 +94,7 @@ dg AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id,
 SELECT DISTINCT doc_id, item_id FROM dg JOIN one USING (g)"""
 
 QUERIES = {
-    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_runs": p4_runs, "p7_containers": p7_containers, "p7_roundtrip": p7_roundtrip,
+    "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_runs": p4_runs, "p7_containers": p7_containers, "p7_roundtrip": p7_roundtrip, "p7_requirements": p7_requirements,
     "p8_found": p8_found, "p9_found": p9_found,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL, "p4_runs": P4_RUNS_SQL, "p7_roundtrip": P7_ROUNDTRIP_SQL, "p8_found": P8_FOUND_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_percentiles": P1_PERCENTILES_SQL, "p4_found": P4_FOUND_SQL, "p4_runs": P4_RUNS_SQL, "p7_roundtrip": P7_ROUNDTRIP_SQL, "p7_requirements": P7_REQUIREMENTS_SQL, "p8_found": P8_FOUND_SQL}
