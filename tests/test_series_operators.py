@@ -401,6 +401,41 @@ def test_long_series_by_blocks(monkeypatch):
     assert np.allclose(whole.score, parts.score, atol=1e-6)
 
 
+def test_the_rule_follows_the_forest(monkeypatch):
+    """Only the forest's candidates are held against the rule of spikes, and no spike is lost by that."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.operators import anomalies
+
+    rng = random.Random(17)
+    data = []
+    for i in range(300):  # whole numbers, so that many differences are ten steps exactly; also short series and stuck ones
+        v, own = 0, []
+        while len(own) < (1, 6, 7, 8, 9, 30, 60, 400)[i % 8]:
+            v += rng.choice([-1, 0, 1, 1] if i % 3 == 0 else [-1, 1])
+            jump = rng.choice([0] * 20 + [10, 11, -11, 12, 21, 500])
+            own += [v + jump + rng.choice([0, 0, 1]) for _ in range(rng.randrange(1, 5))] if jump else [v] * rng.choice([1] * 40 + [9])
+        data += [(i, 600_000 * k, float(x), 0, k) for k, x in enumerate(own)]
+    ids, t, v = (np.array([r[c] for r in data]) for c in range(3))
+    table = pa.table({"id": ids, "shard": np.zeros(len(ids), np.int32), "time": t, "value": v, "min_value": np.full(len(ids), -np.inf), "max_value": np.full(len(ids), np.inf)})
+    run = lambda: pa.Table.from_batches(list(anomalies._score(iter(table.to_batches())))).to_pandas()
+    whole = run()
+    found = whole[whole.spike | whole.stuck]
+    assert set(zip(found.id, found.time)) == expected(data, {}) and whole.spike.sum() > 100 and whole.stuck.sum() > 100
+    assert whole.candidate[whole.spike].all() and whole.candidate.sum() < 0.6 * len(whole)
+
+    score, usual = anomalies.Forests.score, np.arange(len(ids)) % 2 == 0
+    with monkeypatch.context() as m:  # a forest that finds every other reading usual
+        m.setattr(anomalies.Forests, "score", lambda self, series, x: np.where(usual, 0.0, score(self, series, x)).astype(np.float32))
+        half = run()
+    assert (half.spike == whole.spike & ~usual).all() and (half.stuck == whole.stuck).all()
+    spikes, looked = anomalies._Segments.spikes, []
+    monkeypatch.setattr(anomalies._Segments, "spikes", lambda self, step, rows: looked.append(len(rows)) or spikes(self, step, rows))
+    run()
+    assert 0 < sum(looked) <= whole.candidate.sum()
+
+
 def test_time_of_cutting_is_linear():
     """Blocks of one long shard are cut while it is read: no batch is looked at again."""
     import numpy as np

@@ -2,13 +2,13 @@
 
 Every reading gets four features, in units of its series' usual step (the
 median of the absolute differences of successive readings): its level, its
-difference from the readings around it, its departure from the series' usual
-value at that hour of the day, and the length of the run of equal values that it
-is in. An isolation forest of the series scores every reading; readings that it
-finds at least as unusual as any spike by the rule must be to it are candidates,
-which are then held against the exact rule. Physical limits are rules of their
-own, and so are stuck values: in a series that often stands still, a long run is
-nothing that a forest isolates.
+difference from the third readings before and after it, its departure from the
+series' usual value at that hour of the day, and the length of the run of equal
+values that it is in. An isolation forest of the series scores every reading;
+readings that it finds at least as unusual as any spike by the rule must be to it
+are candidates. Only these are held against the exact rule. Physical limits are
+rules of their own, and so are stuck values: in a series that often stands still,
+a long run is nothing that a forest isolates.
 
 A series that fits into one task is handled there as a whole. The readings of a
 series that is cut into time shards (see `layout`) are exchanged and sorted once
@@ -143,35 +143,28 @@ class _Segments:
         with np.errstate(invalid="ignore"):
             return np.abs(self.v - self.long[self.at - 1])
 
-    def around(self, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """step: by segment. difference: how far each reading is, at least, from the three before and the three after a stretch of one to three
-        that it is in (the best of its stretches whose six lie at most FAR steps apart, else of any); spike: whether a stretch
-        fulfils the rule."""
-        x, m = self.long, len(self.long)
-        s = np.repeat(step, self.n + 2 * HALO)
-        best, spike = np.full(m, -np.inf), np.zeros(m, bool)
-        with np.errstate(invalid="ignore"):
-            hi3, lo3 = np.full(m, np.nan), np.full(m, np.nan)  # over i, i+1, i+2
-            hi3[:-2] = np.maximum(np.maximum(x[:-2], x[1:-1]), x[2:])
-            lo3[:-2] = np.minimum(np.minimum(x[:-2], x[1:-1]), x[2:])
+    def around(self, step: np.ndarray) -> np.ndarray:
+        """step: by segment. How far each reading lies beyond the third before and the third after it, where these are at most FAR steps apart;
+        else 0. Both are among the six readings around any stretch of one to three that it is in, so for every spike by the rule it is
+        more than FAR steps."""
+        a, b = self.long[self.at - 3], self.long[self.at + 3]
+        with np.errstate(invalid="ignore", over="ignore"):
+            beyond = np.maximum(self.v - np.maximum(a, b), np.minimum(a, b) - self.v)
+            return np.where(np.abs(a - b) <= FAR * step[self.of], np.maximum(beyond, 0.0), 0.0)
+
+    def spikes(self, step: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """step: by segment. Of each of these readings whether a stretch of one to three that it is in fulfils the rule."""
+        x = self.long[self.at[rows] + np.arange(-5, 6)[:, None]]
+        spike = np.zeros(len(rows), bool)
+        with np.errstate(invalid="ignore", over="ignore"):
+            far = FAR * step[self.of[rows]]
             for length in (1, 2, 3):
-                k = m - 5 - length  # stretch at i .. i + length - 1 for i from 3
-                if k <= 0:
-                    continue
-                before, after = slice(0, k), slice(3 + length, 3 + length + k)
-                hi, lo = np.maximum(hi3[before], hi3[after]), np.minimum(lo3[before], lo3[after])
-                dist, every = [], np.ones(k, bool)
-                for j in range(length):
-                    y = x[3 + j:3 + j + k]
-                    d = np.where(y > hi, y - hi, np.where(y < lo, lo - y, 0.0))
-                    dist.append(np.where(np.isnan(hi) | np.isnan(lo), -np.inf, d))
-                    every &= d > FAR * s[3 + j:3 + j + k]
-                calm = hi - lo <= FAR * s[3:3 + k]
-                for j in range(length):
-                    at = slice(3 + j, 3 + j + k)
-                    best[at] = np.maximum(best[at], np.where(calm, np.minimum.reduce(dist), -np.inf))
-                    spike[at] |= calm & every
-        return np.maximum(best[self.at], 0.0), spike[self.at]
+                for first in range(6 - length, 6):  # the reading itself is at 5
+                    last = first + length
+                    six, stretch = np.concatenate([x[first - 3:first], x[last:last + 3]]), x[first:last]
+                    hi, lo = six.max(axis=0), six.min(axis=0)
+                    spike |= (hi - lo <= far) & (np.maximum(stretch - hi, lo - stretch).min(axis=0) > far)
+        return spike
 
     def runs(self) -> np.ndarray:
         """Length of the run of readings less than EPS from the one before, as far as it can be seen; at most STUCK."""
@@ -357,7 +350,7 @@ def _pool(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatc
     """The readings that may belong to their series' pool."""
     for seg in _segments(batches, hot):
         step, hours, unit = _of_series(seg, hot)
-        feats = _features(seg, hours, unit, seg.around(step)[0], seg.runs())
+        feats = _features(seg, hours, unit, seg.around(step), seg.runs())
         keys, ids = _key(seg.time), np.unique(seg.id, return_inverse=True)[1][seg.of]
         low = _lowest(ids, keys, POOL)
         yield pa.RecordBatch.from_pydict({"id": seg.id[seg.of[low]], "key": keys[low], "features": pa.array([f.tobytes() for f in feats[low]], pa.binary())})
@@ -366,15 +359,19 @@ def _pool(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatc
 _SCORED = "id long, time long, value double, score float, candidate boolean, spike boolean, stuck boolean, impossible boolean"
 
 
-def _result(seg: _Segments, step: np.ndarray, feats: np.ndarray, spike: np.ndarray, run: np.ndarray, low: np.ndarray, high: np.ndarray, forest: Forests,
+def _result(seg: _Segments, step: np.ndarray, feats: np.ndarray, run: np.ndarray, low: np.ndarray, high: np.ndarray, forest: Forests,
             series: np.ndarray) -> pa.RecordBatch:
-    """series: the forest of each reading. A candidate's score is one that a spike by the rule can have in this forest."""
+    """series: the forest of each reading. A candidate's score is one that a spike by the rule can have in this forest; no other reading is
+    held against that rule."""
     score = forest.score(series, feats)
-    least = forest.least_score(FEATURES.index("difference"), LEAST_DIFFERENCE)
+    candidate = score >= forest.least_score(FEATURES.index("difference"), LEAST_DIFFERENCE)[series]
     moves = (step >= EPS)[seg.of]
+    spike = np.zeros(len(seg.v), bool)
+    rows = np.flatnonzero(candidate & moves)
+    spike[rows] = seg.spikes(step, rows)
     return pa.RecordBatch.from_pydict({
-        "id": seg.id[seg.of], "time": seg.time, "value": seg.v, "score": score, "candidate": score >= least[series],
-        "spike": spike & moves, "stuck": (run >= STUCK) & moves, "impossible": (seg.v < low) | (seg.v > high),
+        "id": seg.id[seg.of], "time": seg.time, "value": seg.v, "score": score, "candidate": candidate,
+        "spike": spike, "stuck": (run >= STUCK) & moves, "impossible": (seg.v < low) | (seg.v > high),
     })
 
 
@@ -392,13 +389,12 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(seg.id)
         step = np.nan_to_num(_medians(seg.of, seg.differences(), k), nan=0.0)
         hours = _profile(*_hour_sums(seg))
-        difference, spike = seg.around(step)
         run = seg.runs()
-        feats = _features(seg, hours, _usual(step, _scale(hours)), difference, run)
+        feats = _features(seg, hours, _usual(step, _scale(hours)), seg.around(step), run)
         pick = _lowest(seg.of, _key(seg.time), POOL)
         pools, sizes = feats[pick], np.bincount(seg.of[pick], minlength=k)
         forest = Forests(seg.id, pools, np.r_[0, np.cumsum(sizes)])
-        yield _result(seg, step, feats, spike, run, x["min_value"], x["max_value"], forest, seg.of)
+        yield _result(seg, step, feats, run, x["min_value"], x["max_value"], forest, seg.of)
 
 
 def _score_long(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -421,14 +417,13 @@ def _score_long(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     hours = _profile(sum(s for s, _ in sums), sum(n for _, n in sums))
     unit = _usual(step, _scale(hours))
 
-    def featured() -> Iterator[tuple[_Segments, np.ndarray, np.ndarray, np.ndarray]]:
+    def featured() -> Iterator[tuple[_Segments, np.ndarray, np.ndarray]]:
         for seg in blocks():
-            difference, spike = seg.around(step)
             run = seg.runs()
-            yield seg, _features(seg, hours, unit, difference, run), spike, run
+            yield seg, _features(seg, hours, unit, seg.around(step), run), run
 
     keys, feats = [], []
-    for seg, f, _, _ in featured():
+    for seg, f, _ in featured():
         own = _key(seg.time)
         low = _lowest(seg.of, own, POOL)
         keys.append(own[low])
@@ -436,8 +431,8 @@ def _score_long(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     best = np.argsort(np.concatenate(keys), kind="stable")[:POOL]
     pool = np.concatenate(feats)[best]
     forest = Forests(sid, pool, np.array([0, len(pool)]))
-    for seg, f, spike, run in featured():
-        yield _result(seg, step, f, spike, run, x["min_value"][0], x["max_value"][0], forest, seg.of)
+    for seg, f, run in featured():
+        yield _result(seg, step, f, run, x["min_value"][0], x["max_value"][0], forest, seg.of)
 
 
 def _score_blocks(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatch]:
@@ -445,15 +440,14 @@ def _score_blocks(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.Re
     grown: tuple[list[int], Forests] | None = None
     for seg in _segments(batches, hot):
         step, hours, unit = _of_series(seg, hot)
-        difference, spike = seg.around(step)
         run = seg.runs()
-        feats = _features(seg, hours, unit, difference, run)
+        feats = _features(seg, hours, unit, seg.around(step), run)
         ids, at = np.unique(seg.id, return_inverse=True)
         if grown is None or grown[0] != ids.tolist():
             parts = [hot.series[int(i)].pool for i in ids]
             grown = (ids.tolist(), Forests(ids, np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]))
         limits = np.array([hot.series[int(i)].limits for i in seg.id])[seg.of]
-        yield _result(seg, step, feats, spike, run, limits[:, 0], limits[:, 1], grown[1], at[seg.of])
+        yield _result(seg, step, feats, run, limits[:, 0], limits[:, 1], grown[1], at[seg.of])
 
 
 def limits_by_id(scheme: DataFrame, limits: DataFrame) -> DataFrame:
@@ -536,7 +530,7 @@ def _floats(x: pa.BinaryArray) -> np.ndarray:
 
 def score_readings(rows: DataFrame, scheme: DataFrame, limits: DataFrame, block_rows: int = BLOCK, **layout) -> DataFrame:
     """Every current reading (id, time, value) with its score by the forest of its series, whether that makes it a
-    candidate, and the rules `spike`, `stuck` and `impossible` (see TESTDATA.md, p5_found).
+    candidate, and the rules `spike` (false unless it is a candidate), `stuck` and `impossible` (see TESTDATA.md, p5_found).
 
     rows: id, time, value, flag, seq, as delivered. Series missing from scheme have no limits; a null limit doesn't hold.
     A series with one reading has no step, so only its limits count. Infinite readings are far from all finite ones.
